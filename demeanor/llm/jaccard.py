@@ -56,7 +56,7 @@ class Shingler:
         known = self.words
         if len(known) > MOST_WORDS:
             known.clear()
-        new = set(words) - known.keys()
+        new = set(words).difference(known)
         if new:
             known.update({w: xxhash.xxh3_64_intdigest(w) for w in new})
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

@@ -158,7 +158,7 @@ class Scorer:
             self.place.clear()
             self.logs = self.logs[:0]
         split = [letters_words(t) for t in texts]
-        new = list(set().union(*split) - self.place.keys())
+        new = list(set().union(*split).difference(self.place))
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             self.place.update(zip(some, range(len(self.place), len(self.place) + len(some))))

@@ -84,18 +84,21 @@ def _measures(text: Column) -> list[dict[str, Column]]:
         lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(a["end"], p)).alias("n"), (p + WINDOW).alias("end")),
         lambda a: a["n"],
     )
-    seventh = same | {"n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long")}
+    seventh = same | {"n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"), "_row": F.monotonically_increasing_id()}
     return [first, second, third, fourth, fifth, sixth, seventh]
 
 
-def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns beside all measures of each text; one row for each row of ``docs``."""
+def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), row: bool = False) -> DataFrame:
+    """The ``keep`` columns beside all measures of each text; one row for each row of ``docs``.
+
+    With ``row``, also a row number, ``_row``; a filter that uses it stays above the measures.
+    """
     inner = {f"_keep{k}": F.col(f"`{x}`") for k, x in enumerate(keep)}
     df = docs.select(F.col(f"`{text}`").alias("_text"), *[v.alias(k) for k, v in inner.items()])
     for layer in _measures(F.col("_text")):
         df = df.select(*inner, *[v.alias(k) for k, v in layer.items()])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_shouts"]
-    return df.select(*[F.col(f"_keep{k}").alias(x) for k, x in enumerate(keep)], *names)
+    return df.select(*[F.col(f"_keep{k}").alias(x) for k, x in enumerate(keep)], *names, *(["_row"] if row else []))
 
 
 def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -109,3 +112,13 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def quality_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of ``docs`` with its measures and verdict."""
     return judge(measure(docs, text, keep), rules)
+
+
+def kept_rows(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
+
+    The row number in the condition keeps Catalyst from pushing it down through the measures, which
+    would write their nested expressions out in the filter over and over.
+    """
+    judged = judge(measure(docs.withColumnsRenamed({c: f"_in{k}" for k, c in enumerate(docs.columns)}), f"_in{docs.columns.index(text)}", tuple(f"_in{k}" for k in range(len(docs.columns))), row=True), rules)
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*[F.col(f"_in{k}").alias(c) for k, c in enumerate(docs.columns)])

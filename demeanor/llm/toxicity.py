@@ -66,7 +66,7 @@ class Terms:
                 if t := tuple(kept[x] for x in word_terms(w) if x in kept):
                     self.hits[w] = t
             self.seen |= new
-        return sorted({x for w in words & self.hits.keys() for x in self.hits[w]})
+        return sorted({x for w in words.intersection(self.hits) for x in self.hits[w]})
 
 
 @dataclass
