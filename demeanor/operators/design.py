@@ -1,0 +1,255 @@
+"""The design of categorical factors, as relational operations on the observations.
+
+Observations stay in Spark. One scan with grouping sets aggregates them by every level and every
+pair of levels; what comes back is as large as the factors, not as the data. Factor levels may be of
+any type that can be grouped; levels are numbered in their order, one factor after another.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import cached_property, reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..errors import EmptyObservations, InvalidInput, TooLarge
+from .matrices import CrossTab, SparseMatrix
+
+MOST_PAIRS = 20_000_000
+BROADCAST_LEVELS = 1_000_000
+
+
+def gather(df: DataFrame, factors: list[str], tables: list[DataFrame], value: str) -> Column | DataFrame:
+    """``df`` with ``value`` added: the sum of the factors' coefficients, each table being (level, coef)."""
+    for k, (f, t) in enumerate(zip(factors, tables)):
+        df = df.join(t.select(F.col("level").alias(f"__l{k}"), F.col("coef").alias(f"__c{k}")), F.col(f"`{f}`").eqNullSafe(F.col(f"__l{k}")), "left").drop(f"__l{k}")
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"__c{k}"), F.lit(0.0)) for k in range(len(factors))])
+    return df.withColumn(value, total).drop(*[f"__c{k}" for k in range(len(factors))])
+
+
+def scatter(df: DataFrame, factors: list[str], values: dict[str, Column]) -> DataFrame:
+    """Sums of the values by every level of every factor, in one pass: (factor number, level as text, sums)."""
+    parts = F.array(*[F.struct(F.lit(k).alias("factor"), F.col(f"`{f}`").cast("string").alias("level")) for k, f in enumerate(factors)])
+    spread = df.select(F.explode(parts).alias("p"), *[v.alias(n) for n, v in values.items()])
+    return spread.groupBy("p.factor", "p.level").agg(*[F.sum(n).alias(n) for n in values])
+
+
+def cross_tab(df: DataFrame, q: str, r: str, weight: Column) -> DataFrame:
+    return df.groupBy(F.col(f"`{q}`").alias("q"), F.col(f"`{r}`").alias("r")).agg(F.sum(weight).alias("w"))
+
+
+@dataclass
+class Cells:
+    """Distinct tuples of levels: codes by factor, weight, weighted sum of each response and of its squares."""
+
+    codes: np.ndarray
+    w: np.ndarray
+    wy: np.ndarray
+    wyy: np.ndarray
+
+
+class Design:
+    """Factors, optional weights and what one aggregation says of them.
+
+    ``levels="codes"`` takes integer codes from 0 to the largest, unseen ones included, and
+    ``"observed"`` the levels that occur. ``null_policy``: ``"error"``, or ``"drop"`` rows with a null
+    factor or weight. Weights that are negative are refused; those that are NaN are an error too.
+    """
+
+    def __init__(self, df: DataFrame, factors: list[str], weight: str | None = None, levels: str = "observed", null_policy: str = "error", most_pairs: int = MOST_PAIRS):
+        if not factors or len(set(factors)) != len(factors):
+            raise InvalidInput("give at least one factor, each once")
+        if levels not in ("observed", "codes") or null_policy not in ("error", "drop"):
+            raise InvalidInput("unknown levels or null_policy")
+        self.factors, self.weight, self.levels_mode, self.null_policy, self.most_pairs = list(factors), weight, levels, null_policy, most_pairs
+        used = [*factors, *([weight] if weight else [])]
+        if null_policy == "drop":
+            df = df.dropna(subset=used)
+        self.df = df
+
+    @property
+    def w(self) -> Column:
+        return F.col(f"`{self.weight}`").cast("double") if self.weight else F.lit(1.0)
+
+    n_factors = property(lambda self: len(self.factors))
+
+    @cached_property
+    def _scan(self) -> pd.DataFrame:
+        """Weights by level and by pair of levels, from one scan."""
+        base = self.df.select(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(self.factors)], self.w.alias("w"))
+        cols = [f"f{k}" for k in range(self.n_factors)]
+        sets = [[c] for c in cols] + [[a, b] for i, a in enumerate(cols) for b in cols[i + 1 :]] + [[]]
+        bad = (F.col("w").isNull() | F.isnan("w") | (F.col("w") < 0)).cast("long")
+        nulls = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols]).cast("long")
+        checked = base.withColumn("bad", bad).withColumn("nulls", nulls)
+        grouped = checked.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols]).agg(
+            F.grouping_id().alias("gid"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("nulls").alias("nulls")
+        )
+        out = grouped.limit(self.most_pairs + 1).toPandas()
+        if len(out) > self.most_pairs:
+            raise TooLarge(f"more than {self.most_pairs} pairs of levels; use the Implicit operator")
+        return out
+
+    def _set(self, *which: int) -> pd.DataFrame:
+        gid = sum(1 << (self.n_factors - 1 - k) for k in range(self.n_factors) if k not in which)
+        return self._scan[self._scan["gid"] == gid]
+
+    @cached_property
+    def n_obs(self) -> int:
+        total = self._set()
+        n = int(total["n"].sum()) if len(total) else 0
+        if n == 0:
+            raise EmptyObservations("there are no observations")
+        if int(total["nulls"].iloc[0] or 0):
+            raise InvalidInput("a factor is null in some rows; use null_policy='drop'")
+        if int(total["bad"].iloc[0] or 0):
+            raise InvalidInput("weights must not be null, NaN or negative")
+        return n
+
+    @cached_property
+    def levels(self) -> list[np.ndarray]:
+        """The levels of each factor, in order."""
+        self.n_obs
+        out = []
+        for k in range(self.n_factors):
+            seen = self._set(k)[f"f{k}"].to_numpy()
+            if self.levels_mode == "codes":
+                if (seen.astype(np.int64) < 0).any():
+                    raise InvalidInput("codes must not be negative")
+                out.append(np.arange(int(seen.max()) + 1))
+            else:
+                out.append(np.array(sorted(seen), dtype=seen.dtype))
+        return out
+
+    n_levels = property(lambda self: [len(x) for x in self.levels])
+
+    @cached_property
+    def offsets(self) -> np.ndarray:
+        return np.r_[0, np.cumsum(self.n_levels)]
+
+    n_dofs = property(lambda self: int(self.offsets[-1]))
+
+    @cached_property
+    def _places(self) -> list[pd.Series]:
+        return [pd.Series(np.arange(len(x)), index=pd.Index(x)) for x in self.levels]
+
+    def codes(self, factor: int, values) -> np.ndarray:
+        return self._places[factor].reindex(pd.Index(values)).to_numpy().astype(np.int64)
+
+    @cached_property
+    def fingerprint(self) -> int:
+        return hash(tuple(tuple(map(str, x)) for x in self.levels))
+
+    def active(self, factor: int) -> np.ndarray:
+        """Which levels occur."""
+        out = np.zeros(self.n_levels[factor], bool)
+        out[self.codes(factor, self._set(factor)[f"f{factor}"])] = True
+        return out
+
+    def diagonal(self) -> np.ndarray:
+        """Weights by level: the Gramian's diagonal."""
+        out = np.zeros(self.n_dofs)
+        for k in range(self.n_factors):
+            s = self._set(k)
+            out[self.offsets[k] + self.codes(k, s[f"f{k}"])] = s["w"].to_numpy(float)
+        return out
+
+    def tab(self, q: int, r: int, all_levels: bool = False) -> CrossTab:
+        """The cross-tabulation of two factors. Sums of 0 are no edges."""
+        s = self._set(q, r)
+        s = s[s["w"] > 0]
+        d = self.diagonal()
+        return CrossTab(self.codes(q, s[f"f{q}"]), self.codes(r, s[f"f{r}"]), s["w"].to_numpy(float), d[self.offsets[q] : self.offsets[q + 1]], d[self.offsets[r] : self.offsets[r + 1]])
+
+    @cached_property
+    def tabs(self) -> dict[tuple[int, int], CrossTab]:
+        return {(q, r): self.tab(q, r) for q in range(self.n_factors) for r in range(q + 1, self.n_factors)}
+
+    @cached_property
+    def gram(self) -> SparseMatrix:
+        """D'WD, put together from the tabulations; no second scan."""
+        d = self.diagonal()
+        rows, cols, vals = [np.arange(self.n_dofs)], [np.arange(self.n_dofs)], [d]
+        for (q, r), t in self.tabs.items():
+            a, b = t.q + self.offsets[q], t.r + self.offsets[r]
+            rows += [a, b]
+            cols += [b, a]
+            vals += [t.w, t.w]
+        return SparseMatrix(self.n_dofs, np.concatenate(rows), np.concatenate(cols), np.concatenate(vals))
+
+    def sums(self, df: DataFrame, columns: dict[str, Column]) -> np.ndarray:
+        """D'W y for each column, one pass for all: an array of (unknowns, columns)."""
+        names = list(columns)
+        base = df.select(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(self.factors)], *[(self.w * v.cast("double")).alias(f"v{j}") for j, v in enumerate(columns.values())])
+        cols = [f"f{k}" for k in range(self.n_factors)]
+        got = base.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(F.grouping_id().alias("gid"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(len(names))]).toPandas()
+        out = np.zeros((self.n_dofs, len(names)))
+        for k in range(self.n_factors):
+            s = got[got["gid"] == sum(1 << (self.n_factors - 1 - j) for j in range(self.n_factors) if j != k)]
+            out[self.offsets[k] + self.codes(k, s[f"f{k}"])] = s[[f"v{j}" for j in range(len(names))]].to_numpy(float)
+        return out
+
+    def cells(self, columns: dict[str, Column]) -> Cells:
+        """Observations by distinct tuple of levels, for solvers that work on rows."""
+        base = self.df.select(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(self.factors)], self.w.alias("w"), *[v.cast("double").alias(f"y{j}") for j, v in enumerate(columns.values())])
+        n = len(columns)
+        got = base.groupBy(*[f"f{k}" for k in range(self.n_factors)]).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(f"y{j}")).alias(f"s{j}") for j in range(n)], *[F.sum(F.col("w") * F.col(f"y{j}") * F.col(f"y{j}")).alias(f"t{j}") for j in range(n)])
+        got = got.limit(self.most_pairs + 1).toPandas()
+        if len(got) > self.most_pairs:
+            raise TooLarge("too many distinct tuples of levels for LSMR; use CG")
+        codes = np.stack([self.offsets[k] + self.codes(k, got[f"f{k}"]) for k in range(self.n_factors)])
+        order = np.lexsort(codes[::-1])
+        pick = lambda p: got[[f"{p}{j}" for j in range(n)]].to_numpy(float)[order]
+        return Cells(codes[:, order], got["w"].to_numpy(float)[order], pick("s"), pick("t"))
+
+    def coefficient_tables(self, x: np.ndarray) -> list[DataFrame]:
+        """(level, coef) of each factor, as tables; small ones are marked for broadcast."""
+        spark, out = self.df.sparkSession, []
+        for k, f in enumerate(self.factors):
+            part = pd.DataFrame({"level": self.levels[k], "coef": x[self.offsets[k] : self.offsets[k + 1]].astype(float)})
+            kind = self.df.schema[f].dataType.simpleString()
+            t = spark.createDataFrame(part).select(F.col("level").cast(kind).alias("level"), "coef")
+            out.append(F.broadcast(t) if len(part) <= BROADCAST_LEVELS else t)
+        return out
+
+    def fitted(self, df: DataFrame, x: np.ndarray, value: str) -> DataFrame:
+        return gather(df, self.factors, self.coefficient_tables(x), value)
+
+    def coefficients(self, x: np.ndarray, name: str = "coef") -> DataFrame:
+        """factor, level (as text), dof and coefficient of every level."""
+        rows = pd.DataFrame({"factor": np.repeat(self.factors, self.n_levels), "level": [str(v) for lv in self.levels for v in lv], "dof": np.arange(self.n_dofs), name: x.astype(float)})
+        return self.df.sparkSession.createDataFrame(rows)
+
+    @cached_property
+    def encoded(self) -> DataFrame:
+        """Unknowns by factor (d0, d1, ...) and weight of every observation, for products over the observations."""
+        spark, df = self.df.sparkSession, self.df.select(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(self.factors)], self.w.alias("w"))
+        for k in range(self.n_factors):
+            t = spark.createDataFrame(pd.DataFrame({f"l{k}": self.levels[k], f"d{k}": self.offsets[k] + np.arange(self.n_levels[k])}))
+            t = F.broadcast(t) if self.n_levels[k] <= BROADCAST_LEVELS else t
+            df = df.join(t, F.col(f"f{k}") == F.col(f"l{k}")).drop(f"f{k}", f"l{k}")
+        return df.persist()
+
+    def implicit_product(self, x: np.ndarray) -> np.ndarray:
+        """D'W D x over the observations: each partition gathers, scatters into its own sums, and those add up."""
+        import pyarrow as pa
+
+        shared, n, q = self.df.sparkSession.sparkContext.broadcast(x), self.n_dofs, self.n_factors
+
+        def run(batches):
+            out, seen = np.zeros(n), False
+            for b in batches:
+                at = [b.column(f"d{k}").to_numpy() for k in range(q)]
+                v = sum(shared.value[a] for a in at) * b.column("w").to_numpy()
+                for a in at:
+                    out += np.bincount(a, v, n)
+                seen = True
+            on = np.flatnonzero(out) if seen else np.zeros(0, int)
+            yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(out[on], pa.float64())], ["dof", "v"])
+
+        got = self.encoded.mapInArrow(run, "dof long, v double").groupBy("dof").agg(F.sum("v").alias("v")).toPandas()
+        shared.destroy()
+        return np.bincount(got["dof"], got["v"], n)

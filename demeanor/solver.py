@@ -1,0 +1,216 @@
+"""Projecting factors out of responses: one-shot functions, a solver to reuse, and regression on what is left."""
+
+from __future__ import annotations
+
+import time
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .config import GMRES, LSMR, AdditiveSchwarz, MultiplicativeSchwarz, OperatorRepr, Preconditioner, check
+from .errors import BuildError, InvalidInput
+from .operators import schwarz
+from .operators.design import Design, gather
+from .operators.krylov import EPS, Outcome, cg, gmres, lsmr
+
+
+@dataclass
+class SolveResult:
+    """``x``: coefficients by factor and level; ``demeaned``: the input rows and what the factors leave of the response."""
+
+    x: DataFrame
+    demeaned: DataFrame
+    converged: bool
+    iterations: int
+    residual: float
+    time_total: float
+    time_setup: float
+    time_solve: float
+    vector: np.ndarray
+
+
+@dataclass
+class BatchSolveResult:
+    names: list[str]
+    design: Design
+    vectors: np.ndarray
+    demeaned_all: DataFrame
+    converged: list[bool]
+    iterations: list[int]
+    final_residual: list[float]
+    time_solve: list[float]
+    time_total: float
+
+    n_rhs = property(lambda self: len(self.names))
+
+    def x(self, i: int) -> DataFrame:
+        return self.design.coefficients(self.vectors[:, i])
+
+    @property
+    def x_all(self) -> DataFrame:
+        out = self.design.coefficients(self.vectors[:, 0], f"coef_{self.names[0]}")
+        for i, n in enumerate(self.names[1:], 1):
+            out = out.join(self.design.coefficients(self.vectors[:, i], f"coef_{n}").drop("factor", "level"), "dof")
+        return out
+
+    def demeaned(self, i: int) -> DataFrame:
+        keep = [c for c in self.demeaned_all.columns if c not in {f"{n}_demeaned" for n in self.names} - {f"{self.names[i]}_demeaned"}]
+        return self.demeaned_all.select(*keep)
+
+    def report(self) -> DataFrame:
+        rows = [(n, bool(c), int(k), float(r)) for n, c, k, r in zip(self.names, self.converged, self.iterations, self.final_residual)]
+        return self.design.df.sparkSession.createDataFrame(rows, "response string, converged boolean, iterations long, residual double")
+
+
+class Solver:
+    """Built once for a design; solves for any responses among the columns of its DataFrame.
+
+    ``preconditioner``: None or ``Preconditioner.Additive``, ``Multiplicative`` (GMRES only), ``Off``, a
+    configuration, or one built earlier for the same design. A single factor is solved in closed form.
+    """
+
+    def __init__(self, df: DataFrame, factors: list[str], config=None, weights: str | None = None, preconditioner=None, levels: str = "observed", null_policy: str = "error"):
+        began = time.perf_counter()
+        self.config, choice = check(config, preconditioner)
+        self.design = Design(df, factors, weights, levels, null_policy)
+        self.design.n_obs
+        self._m = None
+        if isinstance(choice, schwarz.FePreconditioner):
+            if choice.n != self.design.n_dofs or choice.fingerprint not in (0, self.design.fingerprint):
+                raise BuildError("the preconditioner was built for another design")
+            self._m = choice
+        elif choice is not Preconditioner.Off and self.design.n_factors > 1:
+            assert isinstance(choice, AdditiveSchwarz | MultiplicativeSchwarz)
+            gram = self.design.gram if isinstance(choice, MultiplicativeSchwarz) else None
+            self._m = schwarz.build(choice, self.design.tabs, self.design.offsets, gram, self.design.fingerprint)
+        self.time_setup = time.perf_counter() - began
+
+    n_dofs = property(lambda self: self.design.n_dofs)
+    n_obs = property(lambda self: self.design.n_obs)
+
+    def preconditioner(self) -> schwarz.FePreconditioner | None:
+        return self._m
+
+    def _product(self):
+        if getattr(self.config, "operator", OperatorRepr.Auto) is OperatorRepr.Implicit:
+            return self.design.implicit_product
+        return self.design.gram.matvec
+
+    def _krylov(self, a, b: np.ndarray, tol: float) -> Outcome:
+        c = self.config
+        if isinstance(c, GMRES):
+            return gmres(a, b, self._m, tol, c.maxiter, c.restart)
+        return cg(a, b, self._m, tol, c.maxiter)
+
+    def _residual_sums(self, names: list[str], x: np.ndarray) -> np.ndarray:
+        """D'W(y - Dx) of all responses, in one pass over the observations."""
+        df = self.design.df
+        for j, n in enumerate(names):
+            df = self.design.fitted(df, x[:, j], f"__fit{j}")
+        return self.design.sums(df, {n: F.col(f"`{n}`").cast("double") - F.col(f"__fit{j}") for j, n in enumerate(names)})
+
+    def _solve(self, names: list[str]) -> tuple[np.ndarray, list[Outcome], list[float], list[float]]:
+        d = self.design
+        missing = [n for n in names if n not in d.df.columns]
+        if missing or not names:
+            raise InvalidInput(f"no such response: {missing}" if missing else "give at least one response")
+        b = d.sums(d.df, {n: F.col(f"`{n}`") for n in names})
+        norms = np.linalg.norm(b, axis=0)
+        x, out, took = np.zeros_like(b), [], []
+        for j, _ in enumerate(names):
+            began = time.perf_counter()
+            if not np.isfinite(b[:, j]).all():
+                if isinstance(self.config, LSMR):
+                    raise InvalidInput("the response must be finite")
+                x[:, j] = np.nan
+                out.append(Outcome(x[:, j], False, 0, float("nan"), "response is not finite"))
+            elif d.n_factors == 1:
+                diag = d.diagonal()
+                x[:, j] = np.divide(b[:, j], diag, out=np.zeros_like(diag), where=diag > 0)
+                out.append(Outcome(x[:, j], True, 0, 0.0, "closed form"))
+            elif isinstance(self.config, LSMR):
+                out.append(self._lsmr(names[j]))
+                x[:, j] = out[-1].x
+            else:
+                out.append(self._krylov(self._product(), b[:, j], self.config.tol))
+                x[:, j] = out[-1].x
+            took.append(time.perf_counter() - began)
+        left = self._residual_sums(names, x)
+        for _ in range(0 if isinstance(self.config, LSMR) or d.n_factors == 1 else self.config.max_refinements):
+            again = [j for j, o in enumerate(out) if np.isfinite(norms[j]) and norms[j] >= EPS and np.linalg.norm(left[:, j]) > self.config.tol * norms[j]]
+            if not again:
+                break
+            for j in again:
+                size = float(np.linalg.norm(left[:, j]))
+                more = self._krylov(self._product(), left[:, j], min(self.config.tol * norms[j] / size, 1.0))
+                x[:, j] += more.x
+                out[j] = Outcome(x[:, j], more.converged, out[j].iterations + more.iterations, more.residual, more.reason)
+            left = self._residual_sums(names, x)
+        final = [float(np.linalg.norm(left[:, j]) / max(norms[j], 1e-15)) for j in range(len(names))]
+        return x, out, final, took
+
+    def _lsmr(self, name: str) -> Outcome:
+        d, c = self.design, self.config
+        cells = d.cells({name: F.col(f"`{name}`")})
+        on = cells.w > 0
+        root = np.sqrt(cells.w[on])
+        codes, b = cells.codes[:, on], cells.wy[on, 0] / root
+        extra = max(float(cells.wyy[on, 0].sum() - b @ b), 0.0)
+
+        def a(x):
+            return root * x[codes].sum(axis=0)
+
+        def at(u):
+            v = root * u
+            return sum(np.bincount(k, v, d.n_dofs) for k in codes)
+
+        return lsmr(a, at, b, self._m, c.tol, c.maxiter, c.local_size, extra)
+
+    def _demeaned(self, names: list[str], x: np.ndarray, single: bool) -> DataFrame:
+        df = self.design.df
+        for j, n in enumerate(names):
+            out = "demeaned" if single else f"{n}_demeaned"
+            df = gather(df, self.design.factors, self.design.coefficient_tables(x[:, j]), "__fit").withColumn(out, F.col(f"`{n}`").cast("double") - F.col("__fit")).drop("__fit")
+        return df
+
+    def solve(self, y: str) -> SolveResult:
+        began = time.perf_counter()
+        x, out, final, took = self._solve([y])
+        o, total = out[0], time.perf_counter() - began
+        return SolveResult(self.design.coefficients(x[:, 0]), self._demeaned([y], x, True), o.converged, o.iterations, final[0], total, total - took[0], took[0], x[:, 0])
+
+    def solve_batch(self, ys: list[str]) -> BatchSolveResult:
+        began = time.perf_counter()
+        x, out, final, took = self._solve(list(ys))
+        return BatchSolveResult(list(ys), self.design, x, self._demeaned(list(ys), x, False), [o.converged for o in out], [o.iterations for o in out], final, took, time.perf_counter() - began)
+
+
+def solve(df: DataFrame, factors: list[str], y: str, weights: str | None = None, config=None, preconditioner=None, **options) -> SolveResult:
+    began = time.perf_counter()
+    s = Solver(df, factors, config, weights, preconditioner, **options)
+    r = s.solve(y)
+    r.time_total, r.time_setup = time.perf_counter() - began, r.time_setup + s.time_setup
+    return r
+
+
+def solve_batch(df: DataFrame, factors: list[str], ys: list[str], weights: str | None = None, config=None, preconditioner=None, **options) -> BatchSolveResult:
+    began = time.perf_counter()
+    r = Solver(df, factors, config, weights, preconditioner, **options).solve_batch(ys)
+    r.time_total = time.perf_counter() - began
+    return r
+
+
+def regress(df: DataFrame, factors: list[str], y: str, xs: list[str], weights: str | None = None, config=None, preconditioner=None) -> DataFrame:
+    """Slopes of y on xs beside the factors: demean all of them in one batch, then least squares on what is left."""
+    r = solve_batch(df, factors, [y, *xs], weights, config, preconditioner)
+    w = F.col(f"`{weights}`").cast("double") if weights else F.lit(1.0)
+    cols = [F.col(f"`{n}_demeaned`") for n in (y, *xs)]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    got = r.demeaned_all.agg(*[F.sum(w * cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    a = np.zeros((len(cols), len(cols)))
+    for i, j in pairs:
+        a[i, j] = a[j, i] = got[f"s{i}_{j}"] or 0.0
+    slopes = np.linalg.lstsq(a[1:, 1:], a[1:, 0], rcond=None)[0]
+    return df.sparkSession.createDataFrame([(n, float(b)) for n, b in zip(xs, slopes)], "term string, slope double")

@@ -1,0 +1 @@
+"""The operator set has no streams: tables are static, so this folder only marks the place for them."""
