@@ -88,11 +88,17 @@ class Design:
         grouped = checked.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols]).agg(
             F.grouping_id().alias("gid"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("nulls").alias("nulls")
         )
-        out = grouped.limit(self.most_pairs + 1).toPandas()
+        out = self._whole(grouped).limit(self.most_pairs + 1).toPandas()
         if len(out) > self.most_pairs:
             raise TooLarge(f"more than {self.most_pairs} pairs of levels; use the Implicit operator")
         return out
 
+    @staticmethod
+    def _whole(grouped: DataFrame) -> DataFrame:
+        """Integer levels without the nulls of other grouping sets, which would turn them into doubles."""
+        ints = [f.name for f in grouped.schema if f.name[:1] == "f" and f.dataType.typeName() in ("byte", "short", "integer", "long")]
+        return grouped.withColumns({c: F.coalesce(c, F.lit(0).cast(grouped.schema[c].dataType)) for c in ints})
+
     def _set(self, *which: int) -> pd.DataFrame:
         gid = sum(1 << (self.n_factors - 1 - k) for k in range(self.n_factors) if k not in which)
         return self._scan[self._scan["gid"] == gid]
@@ -185,7 +191,8 @@ class Design:
         names = list(columns)
         base = df.select(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(self.factors)], *[(self.w * v.cast("double")).alias(f"v{j}") for j, v in enumerate(columns.values())])
         cols = [f"f{k}" for k in range(self.n_factors)]
-        got = base.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(F.grouping_id().alias("gid"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(len(names))]).toPandas()
+        sums = base.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(F.grouping_id().alias("gid"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(len(names))])
+        got = self._whole(sums).toPandas()
         out = np.zeros((self.n_dofs, len(names)))
         for k in range(self.n_factors):
             s = got[got["gid"] == sum(1 << (self.n_factors - 1 - j) for j in range(self.n_factors) if j != k)]

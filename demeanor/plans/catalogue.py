@@ -44,7 +44,7 @@ def gram_diagonal(spark, sf_dir, weight=None):
 def scatter_wy(spark, sf_dir, weight=None):
     w = F.col(weight) if weight else F.lit(1.0)
     s = D.scatter(_lines(spark, sf_dir), [PART, SUPP], {"wy": w * F.col("l_extendedprice")})
-    return s.select("factor", F.col("level").cast("long").alias("level"), F.round(F.col("wy") / 1e6, 6).alias("wy"))
+    return s.select("factor", F.col("level").cast("long").alias("level"), F.round("wy", 2).alias("wy"))
 
 
 def _tables(lines):
@@ -209,7 +209,7 @@ def oracle_sql() -> dict[str, str]:
         return " UNION ALL ".join(f"SELECT '{f}' AS factor, {f} AS level, sum({w})::DOUBLE AS weight FROM lineitem GROUP BY {f}" for f in _TWO)
 
     def wy(w):
-        return " UNION ALL ".join(f"{s}, round(sum({w} * l_extendedprice) / 1e6, 6) AS wy FROM lineitem GROUP BY {f}" for s, f in zip(lv, _TWO))
+        return " UNION ALL ".join(f"{s}, round(sum({w} * l_extendedprice), 2) AS wy FROM lineitem GROUP BY {f}" for s, f in zip(lv, _TWO))
 
     gram = ["l_linenumber", SUPP]
     explicit = " UNION ALL ".join(
