@@ -46,8 +46,9 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete the tables' files; only for tables that nothing lazy refers to any more."""
         for t in tables:
+            files = t.inputFiles()[:1]
             for path in self.made:
-                if any(f.startswith(path) or path in f for f in t.inputFiles()[:1]):
+                if any(f"/{path.split('/demeanor/')[1]}/" in f for f in files):
                     self._delete(path)
 
     def _delete(self, path: str) -> None:

@@ -14,7 +14,8 @@ only one; without words or text the set is empty and links with nothing. Shingle
 4. Blocks that lie within one component are done. In the others, groups are represented by those
    that they linked with; Jaccard distance being a metric, pairs of representatives that are too far
    apart for any of their members to link are dropped, and the others are expanded to members.
-5. Every pair that is left is verified exactly on the whole sets.
+5. Every pair that is left is screened on somewhat longer prefixes, of which sets that link share
+   several shingles, and those that pass are verified exactly on the whole sets.
 
 So copies and near copies, however many, are never paired with each other all to all, and no link
 between different components is missed. Null ids link with nothing and have a null component; rows
@@ -39,6 +40,7 @@ from .components import components
 HEAVY_SHINGLES = 1 << 17
 HEAVY_IN_TASK = 16
 PAIRS_IN_TASK = 400
+BROADCAST_IDS = 1_000_000
 MOST_WORDS = 400_000
 
 
@@ -110,27 +112,34 @@ def _ordered(h: np.ndarray, heavy: np.ndarray, size: int) -> np.ndarray:
     return np.sort(key)[:size] if size >= len(key) else np.sort(np.partition(key, size - 1)[:size])
 
 
+def _more(n: int) -> int:
+    """How many shingles the longer prefixes of two sets that link share at least, by the size of the smaller."""
+    return 1 + n // 16
+
+
 def _profiles(docs: DataFrame, n: int, num: int, den: int, heavy: np.ndarray) -> DataFrame:
-    """doc_id, set size, a 128-bit signature of the set, its prefix and the prefix's signature."""
+    """doc_id, set size, a 128-bit signature of the set, its prefix, the prefix's signature and the longer prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def make():
         shingler, order = Shingler(n), shared.value
 
         def work(cols):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for doc_id, text in zip(*cols):
                 h = shingler.of(text)
-                prefix = _ordered(h, order, prefix_size(len(h), num, den)) if len(h) else h
+                size = prefix_size(len(h), num, den) if len(h) else 0
+                longer = _ordered(h, order, size - 1 + _more(len(h))) if len(h) else h
+                prefix = longer[:size]
                 sign = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64).tolist()
-                row = (doc_id, len(h), *sign, xxhash.xxh3_64_intdigest(prefix.tobytes()) - (1 << 63), prefix.view(np.int64))
+                row = (doc_id, len(h), *sign, xxhash.xxh3_64_intdigest(prefix.tobytes()) - (1 << 63), prefix.view(np.int64), longer.tobytes())
                 for c, v in zip(out, row):
                     c.append(v)
             return out
 
         return work
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, n long, s1 long, s2 long, psig long, prefix array<long>", make)
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, n long, s1 long, s2 long, psig long, prefix array<long>, longer binary", make)
 
 
 @contextlib.contextmanager
@@ -145,33 +154,32 @@ def _small_batches(spark, rows: int = 256):
         spark.conf.set(key, old)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b, na, nb, both): sizes and intersection of the sets of every pair.
+def _overlaps(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b, na, nb, both): sizes of the pairs' documents, and how many of the hashes in ``sets`` (doc_id, n, h) both have.
 
     Pairs are dealt out by their first id, many pairs of one id over several tasks; the first id's
-    set goes once to each of them, followed by the other sets one by one.
+    hashes go once to each of them, followed by the others' one by one.
     """
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / PAIRS_IN_TASK)).cast("int").alias("salt"))
-    salted = scratch.save(salted, name + "-pairs")
-    held = sets.select(F.col("doc_id").alias("b"), "h")
-    second = salted.join(held, "b").select("a", "salt", "b", "h")
-    first = salted.select("a", "salt").distinct().join(held.withColumnRenamed("b", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "h")
+    held = sets.select(F.col("doc_id").alias("b"), "n", "h")
+    second = salted.join(held, "b").select("a", "salt", "b", "n", "h")
+    first = salted.select("a", "salt").distinct().join(held.withColumnRenamed("b", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "n", "h")
     dealt = first.unionAll(second).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = np.zeros(0, np.uint64)
+        base, size = np.zeros(0, np.uint64), 0
         for batch in batches:
             rows: list[tuple] = []
-            for a, b, h in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("h")):
+            for a, b, n, h in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("n").to_pylist(), batch.column("h")):
                 own = np.frombuffer(h.as_buffer(), np.uint64)
                 if b is None:
-                    base = own.copy()
+                    base, size = own.copy(), n
                     continue
                 x, y = (own, base) if len(own) < len(base) else (base, own)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                rows.append((a, b, len(base), len(own), int((y[at] == x).sum()) if len(y) else 0))
+                rows.append((a, b, size, n, int((y[at] == x).sum()) if len(y) else 0))
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "na", "nb", "both"])
 
@@ -179,6 +187,32 @@ def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> D
         return scratch.save(dealt.mapInArrow(run, "a long, b long, na long, nb long, both long"), name)
 
 
+def _verify(pairs: DataFrame, docs: DataFrame, n: int, longer: DataFrame, once: bool, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b, na, nb, both) of the pairs that the longer prefixes let pass, on whole sets built from the texts again.
+
+    ``longer``: the longer prefixes by doc_id; ``once``: whether every id has one row only.
+    """
+    passed = _overlaps(pairs, longer, scratch, name + "-screen").where("both >= 1 + least(na, nb) div 16").select("a", "b")
+    ids = scratch.save(passed.select(F.col("a").alias("doc_id")).unionAll(passed.select("b")).distinct(), name + "-ids")
+    few = ids.count() <= BROADCAST_IDS
+
+    def make():
+        shingler = Shingler(n)
+
+        def work(cols):
+            sets = [shingler.of(t) for t in cols[1]]
+            return [cols[0], list(map(len, sets)), [h.tobytes() for h in sets]]
+
+        return work
+
+    texts = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = map_rows(texts, ["doc_id", "text"], "doc_id long, n long, h binary", make)
+    sets = scratch.save(sets if once else sets.dropDuplicates(["doc_id"]), name + "-sets")
+    out = _overlaps(passed, sets, scratch, name)
+    scratch.drop(sets)
+    return out
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest linked id, itself included) of every row."""
     spark = docs.sparkSession
@@ -201,18 +235,16 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> Da
     stars = shared.where("c <> pivot").select("pivot", "c", "n").distinct().join(size_of, "pivot").where(near_size("n", "np"))
     inside = grouped.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     first = scratch.save(stars.select(F.col("pivot").alias("a"), F.col("c").alias("b")).unionAll(inside), "stars")
-    needed = shared.select(F.col("c").alias("doc_id")).unionAll(first.select("a")).unionAll(first.select("b")).distinct()
-
-    def sets_of():
-        shingler = Shingler(n)
-        return lambda cols: [cols[0], [shingler.of(t).tobytes() for t in cols[1]]]
+    longer = profiles.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", F.col("longer").alias("h"))
+    once = profiles.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    longer = longer if once else longer.dropDuplicates(["doc_id"])
 
-    wanted = docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = scratch.save(map_rows(wanted, ["doc_id", "text"], "doc_id long, h binary", sets_of).dropDuplicates(["doc_id"]), "needed")
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        return _verify(pairs, docs, n, longer, once, scratch, name)
 
     linked = f"both * {den} >= (na + nb - both) * {num}"
     gap = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    one = _verify(first, sets, scratch, "first").withColumn("d", F.lit(1.0) - gap)
+    one = verify(first, "first").withColumn("d", F.lit(1.0) - gap)
     links = one.where(linked).select("a", "b")
     comp = components(links, scratch)
 
@@ -241,9 +273,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> Da
         close = f"comp1 < comp2 AND hi1 * {den} >= lo2 * {num} AND hi2 * {den} >= lo1 * {num} AND {_reach('hi1', 'pos1', 'hi2', 'pos2', 'lo1', 'lo2', num, den)}"
         met = left.join(right, "w").where(close).groupBy("star1", "star2").agg(F.max(F.col("r1") + F.col("r2")).alias("r"))
         met = scratch.save(met.select(F.least("star1", "star2").alias("a"), F.greatest("star1", "star2").alias("b"), "r").groupBy("a", "b").agg(F.max("r").alias("r")), "met")
-        two = _verify(met.select("a", "b"), sets, scratch, "second")
+        two = verify(met.select("a", "b"), "second")
         more.append(two.where(linked).select("a", "b"))
-        reach = two.withColumn("d", F.lit(1.0) - gap).join(met, ["a", "b"]).where(f"NOT ({linked}) AND r > 0 AND d <= {1 - num / den} + r + 1e-9").select("a", "b")
+        # a pair of representatives that the screen dropped has no distance; where members stand behind it, it is expanded
+        known = two.withColumn("d", F.lit(1.0) - gap).withColumn("link", F.expr(linked)).select("a", "b", "d", "link")
+        reach = met.where("r > 0").join(known, ["a", "b"], "left").where(f"NOT coalesce(link, false) AND coalesce(d, 0D) <= {1 - num / den} + r + 1e-9").select("a", "b")
         reach = scratch.save(reach.unionAll(reach.select(F.col("b").alias("a"), F.col("a").alias("b"))), "reach")
         if not reach.isEmpty():
             m1, m2 = (mixed.select("w", *[F.col(x).alias(x + s) for x in ("pos", "n", "c", "comp", "star")]) for s in "12")
@@ -254,7 +288,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> Da
                 side = members.select(F.col("c").alias("c" + k), F.col("x").alias("x" + k))
                 wide = wide.join(side, "c" + k, "left").withColumn("x" + k, F.coalesce("x" + k, "c" + k))
             pairs = wide.select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).where("a <> b").distinct()
-            more.append(_verify(pairs, sets, scratch, "third").where(linked).select("a", "b"))
+            more.append(verify(pairs, "third").where(linked).select("a", "b"))
         comp = components(links.unionAll(more[0] if len(more) == 1 else more[0].unionAll(more[1])), scratch)
     of_set = reps.join(comp, reps["rep"] == comp["id"], "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
     out = profiles.select("doc_id", "n", "s1", "s2").join(of_set, ["n", "s1", "s2"], "left")
