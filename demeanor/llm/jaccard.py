@@ -25,6 +25,7 @@ that repeat an id are each returned.
 from __future__ import annotations
 
 import contextlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,36 +42,89 @@ HEAVY_SHINGLES = 1 << 17
 HEAVY_IN_TASK = 16
 PAIRS_IN_TASK = 400
 BROADCAST_IDS = 1_000_000
-MOST_WORDS = 400_000
+PIECE_BYTES = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
+_GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+# A word's hash sums the products of random numbers for its bytes and their places; longer words use another hash.
+_BYTE, _PLACE = (np.random.default_rng(7).integers(0, 1 << 64, n, np.uint64) | np.uint64(1) for n in (256, 64))
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+
+
+def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``data``, A-Z as a-z, and where the words start."""
+    raw = np.frombuffer(data, np.uint8)
+    gap = np.concatenate([[True], _GAP[raw], [True]])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    short = sizes <= len(_PLACE)
+    own = sizes[short]
+    out = np.zeros(len(starts), np.uint64)
+    if len(own):
+        begin = np.cumsum(own) - own
+        place = np.arange(begin[-1] + own[-1]) - np.repeat(begin, own)
+        out[short] = np.add.reduceat(_BYTE[raw[place + np.repeat(starts[short], own)]] * _PLACE[place], begin)
+    for i in np.flatnonzero(~short):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]].lower())
+    return out, starts
+
+
+def _fold(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
+    size = len(words) - k + 1
+    out = np.full(size, np.uint64(0x9E3779B97F4A7C15 + k), np.uint64)
+    for i in range(k):
+        out = (out ^ words[i : size + i]) * np.uint64(0xFF51AFD7ED558CCD)
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xC4CEB9FE1A85EC53)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 class Shingler:
-    """Sorted arrays of the distinct shingle hashes of texts."""
+    """Sorted arrays of the distinct shingle hashes of texts.
+
+    Short texts are hashed together, long ones in pieces cut between words.
+    """
 
     def __init__(self, n: int):
         self.n = n
-        self.words: dict[bytes, int] = {}
 
     def of(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.words
-        if len(known) > MOST_WORDS:
-            known.clear()
-        new = set(words).difference(known)
-        if new:
-            known.update({w: xxhash.xxh3_64_intdigest(w) for w in new})
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(self.n, len(h))
-        with np.errstate(over="ignore"):
-            out = np.full(len(h) - k + 1, np.uint64(0x9E3779B97F4A7C15 + k), np.uint64)
-            for i in range(k):
-                out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0xFF51AFD7ED558CCD)
-                out ^= out >> np.uint64(32)
-                out *= np.uint64(0xC4CEB9FE1A85EC53)
-                out ^= out >> np.uint64(29)
-        return np.unique(out)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        held: list[bytes] = []
+        size = 0
+        for t in texts:
+            data = t.encode() if t else b""
+            if held and size + len(data) > PIECE_BYTES:
+                out += self._sets(held)
+                held, size = [], 0
+            held.append(data)
+            size += len(data) + 1
+        return out + self._sets(held) if held else out
+
+    def _sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(texts) == 1:
+            data, at, parts = texts[0], 0, []
+            while at < len(data):
+                cut = _SPACE.search(data, at + PIECE_BYTES)
+                end = cut.start() if cut else len(data)
+                parts.append(_hash_words(data[at:end])[0])
+                at = end
+            words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            ends = np.array([len(words)])
+        else:
+            words, starts = _hash_words(b"\n".join(texts))
+            ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        every = _fold(words, self.n) if len(words) >= self.n else words
+        out, a = [], 0
+        for b in ends.tolist():
+            h = np.sort(every[a : b - self.n + 1] if b - a >= self.n else _fold(words[a:b], b - a) if b > a else words[:0])
+            out.append(h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) > 1 else h)
+            a = b
+        return out
 
 
 def _heavy(docs: DataFrame, n: int) -> np.ndarray:
@@ -83,7 +137,7 @@ def _heavy(docs: DataFrame, n: int) -> np.ndarray:
         shingler, seen = Shingler(n), Counter()
         for b in batches:
             for at in range(0, b.num_rows, 1024):
-                sets = [shingler.of(t) for t in b.column(0).slice(at, 1024).to_pylist()]
+                sets = shingler.many(b.column(0).slice(at, 1024).to_pylist())
                 if sets:
                     h, c = np.unique(np.concatenate(sets), return_counts=True)
                     for x, k in zip(h[c > 3].tolist(), c[c > 3].tolist()):
@@ -126,8 +180,7 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, heavy: np.ndarray) ->
 
         def work(cols):
             out: list[list] = [[] for _ in range(7)]
-            for doc_id, text in zip(*cols):
-                h = shingler.of(text)
+            for doc_id, h in zip(cols[0], shingler.many(cols[1])):
                 size = prefix_size(len(h), num, den) if len(h) else 0
                 longer = _ordered(h, order, size - 1 + _more(len(h))) if len(h) else h
                 prefix = longer[:size]
@@ -200,7 +253,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, longer: DataFrame, once:
         shingler = Shingler(n)
 
         def work(cols):
-            sets = [shingler.of(t) for t in cols[1]]
+            sets = shingler.many(cols[1])
             return [cols[0], list(map(len, sets)), [h.tobytes() for h in sets]]
 
         return work
