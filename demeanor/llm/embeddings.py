@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import components
 
-BLOCK_DIMENSIONS = 8
-TILE = 2048
+BLOCK_DIMENSIONS = 16
+TILE = 1 << 15
 SEED = 3
 
 
@@ -52,17 +52,25 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, a 128-bit signature (null if the vector links with nothing) and the vector's bytes."""
-    for b in batches:
-        one, two, raw = [], [], []
-        for v in b.column(1).to_pylist():
-            x = _vector(v)
-            s = (None, None) if x is None else np.frombuffer(xxhash.xxh3_128_digest((x + 0.0).tobytes()), np.int64).tolist()
-            one.append(s[0])
-            two.append(s[1])
-            raw.append(None if x is None else (x + 0.0).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "s1", "s2", "v"])
+def _signed(kind: str):
+    """id, a 128-bit signature (null if the vector links with nothing) and the vector's bytes as numbers of this kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two, raw = [], [], []
+            for v in b.column(1).to_pylist():
+                x = _vector(v)
+                s = (None, None) if x is None else np.frombuffer(xxhash.xxh3_128_digest((x + 0.0).tobytes()), np.int64).tolist()
+                one.append(s[0])
+                two.append(s[1])
+                raw.append(None if x is None else (x + 0.0).astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "s1", "s2", "v"])
+
+    return run
+
+
+def _read(raw, kind: str, d: int) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), kind).reshape(-1, d).astype(np.float64)
 
 
 def _plan(d: int, distance: float) -> list[tuple[slice, float]]:
@@ -71,7 +79,7 @@ def _plan(d: int, distance: float) -> list[tuple[slice, float]]:
     return [(slice(a, b), distance * (b - a) / d) for a, b in zip(ends, ends[1:])]
 
 
-def _cells(d: int, distance: float):
+def _cells(d: int, kind: str, distance: float):
     """(block, cell, id, vector) of each vector, once for each block."""
     rotation, plan = _rotation(d), _plan(d, distance)
 
@@ -82,7 +90,7 @@ def _cells(d: int, distance: float):
                 if not b.num_rows:
                     continue
                 raw = b.column("v").to_pylist()
-                x = _unit(np.frombuffer(b"".join(raw), np.float64).reshape(-1, d)) @ rotation
+                x = _unit(_read(raw, kind, d)) @ rotation
                 for k, (part, budget) in enumerate(plan):
                     cell = np.floor(x[:, part.start] / np.sqrt(budget * (1 + 1e-9) + 1e-12)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)), pa.array(cell), b.column("id"), b.column("copies"), b.column("v")], ["block", "cell", "id", "copies", "v"])
@@ -108,7 +116,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(d: int, least: float, distance: float):
+def _compare(d: int, kind: str, least: float, distance: float):
     """Links of one pair of tiles (or of a tile within itself)."""
     rotation, plan = _rotation(d), _plan(d, distance)
     slack = 1e-5  # single precision finds candidates, generously; double precision decides
@@ -122,8 +130,8 @@ def _compare(d: int, least: float, distance: float):
         nothing = pd.DataFrame({"kind": [], "a": [], "b": []}).astype("int64")
         if not len(left) or not len(right):
             return nothing
-        u = [_unit(np.frombuffer(b"".join(s["v"]), np.float64).reshape(-1, d)) for s in (left, right)]
-        rotated = [(x @ rotation).astype(np.float32) for x in u]
+        u = [_unit(_read(s["v"], kind, d)) for s in ((left,) if same else (left, right))] * (2 if same else 1)
+        rotated = [(x @ rotation).astype(np.float32) for x in u[: 2 - same]] * (1 + same)
         part, budget = plan[block]
         x, y = rotated[0][:, part], rotated[1][:, part]
         y2 = (y * y).sum(axis=1)
@@ -166,15 +174,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_signed, "vec_id long, s1 long, s2 long, v binary")
+    kind = "f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_signed(kind), "vec_id long, s1 long, s2 long, v binary")
     rows = scratch.save(rows, "vectors")
     real = rows.where("s1 IS NOT NULL AND vec_id IS NOT NULL")
     reps = real.groupBy("s1", "s2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     whole = reps.join(real.select(F.col("vec_id").alias("id"), "s1", "s2", "v").dropDuplicates(["id", "s1", "s2"]), ["id", "s1", "s2"])
-    whole = scratch.save(whole.select("id", "copies", "s1", "s2", "v", (F.length("v") / 8).cast("int").alias("d")), "distinct")
+    whole = scratch.save(whole.select("id", "copies", "s1", "s2", "v", (F.length("v") / int(kind[1])).cast("int").alias("d")), "distinct")
     found = []
     for d in sorted(r["d"] for r in whole.select("d").distinct().collect()):
-        found.append(_links(whole.where(F.col("d") == d), d, least, scratch))
+        found.append(_links(whole.where(F.col("d") == d), d, kind, least, scratch))
     if found:
         every = found[0]
         for x in found[1:]:
@@ -191,10 +200,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     return scratch.save(out, "result")
 
 
-def _links(whole: DataFrame, d: int, least: float, scratch: Scratch) -> DataFrame:
+def _links(whole: DataFrame, d: int, kind: str, least: float, scratch: Scratch) -> DataFrame:
     """(kind, a, b): links (kind 0) and numbers of links (kind 1), of vectors of d components."""
     distance = 2.0 - 2.0 * least
-    cells = whole.select("id", "copies", "v").mapInArrow(_cells(d, distance), "block int, cell int, id long, copies long, v binary")
+    cells = whole.select("id", "copies", "v").mapInArrow(_cells(d, kind, distance), "block int, cell int, id long, copies long, v binary")
     places = cells.select("block", "cell", "id", "copies", "v")
     sizes = places.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("k"))
     sizes = scratch.save(sizes.select("block", "cell", F.ceil(F.col("k") / TILE).cast("int").alias("tiles")), "cells")
@@ -208,5 +217,5 @@ def _links(whole: DataFrame, d: int, least: float, scratch: Scratch) -> DataFram
     sides = sides.unionAll(meets.where("off = 1 OR tile <> other").select("block", (F.col("cell") + F.col("off")).alias("cell"), F.col("other").alias("tile"), F.lit(1).alias("side"), F.struct("block", "cell", "tile", "other", "off").alias("m")))
     placed = places.join(sizes, ["block", "cell"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     dealt = placed.join(sides, ["block", "cell", "tile"]).select("m.block", "m.cell", F.col("m.tile").alias("tile"), F.col("m.other").alias("other"), ((F.col("m.off") == 0) & (F.col("m.tile") == F.col("m.other"))).cast("int").alias("same"), "m.off", "side", "id", "copies", "v")
-    done = dealt.withColumn("other", F.col("other") * 2 + F.col("off")).groupBy("block", "cell", "tile", "other", "same").applyInPandas(_compare(d, least, distance), "kind long, a long, b long")
+    done = dealt.withColumn("other", F.col("other") * 2 + F.col("off")).groupBy("block", "cell", "tile", "other", "same").applyInPandas(_compare(d, kind, least, distance), "kind long, a long, b long")
     return scratch.save(done, "pairs")
