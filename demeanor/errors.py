@@ -34,4 +34,4 @@ class ApplyError(DemeanError):
 
 
 class TooLarge(DemeanError):
-    """An aggregate exceeds the bound for the driver; use the Implicit operator."""
+    """An aggregate exceeds the bound for the driver; use the Implicit operator, without a preconditioner built from pairs."""

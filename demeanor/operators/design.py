@@ -1,14 +1,16 @@
 """The design of categorical factors, as relational operations on the observations.
 
-Observations stay in Spark. One scan with grouping sets aggregates them by every level and every
-pair of levels; what comes back is as large as the factors, not as the data. Factor levels may be of
-any type that can be grouped; levels are numbered in their order, one factor after another.
+Observations stay in Spark. One scan with grouping sets aggregates them by every level, and another,
+made only when it is asked for and bounded, by every pair of levels; what comes back is as large as the
+factors, not as the data. Factor levels may be of any type that can be grouped; levels are numbered in
+their order, one factor after another.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cached_property, reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -76,22 +78,39 @@ class Design:
 
     n_factors = property(lambda self: len(self.factors))
 
-    @cached_property
-    def _scan(self) -> pd.DataFrame:
-        """Weights by level and by pair of levels, from one scan."""
+    def _grouped(self, sets: list[list[int]]) -> DataFrame:
+        """Weights, counts and checks by the levels of each set of factors, from one scan."""
         base = self.df.select(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(self.factors)], self.w.alias("w"))
         cols = [f"f{k}" for k in range(self.n_factors)]
-        sets = [[c] for c in cols] + [[a, b] for i, a in enumerate(cols) for b in cols[i + 1 :]] + [[]]
         bad = (F.col("w").isNull() | F.isnan("w") | (F.col("w") < 0)).cast("long")
         nulls = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols]).cast("long")
         checked = base.withColumn("bad", bad).withColumn("nulls", nulls)
-        grouped = checked.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols]).agg(
+        grouped = checked.groupingSets([[F.col(f"f{k}") for k in s] for s in sets], *[F.col(c) for c in cols]).agg(
             F.grouping_id().alias("gid"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("nulls").alias("nulls")
         )
-        out = self._whole(grouped).limit(self.most_pairs + 1).toPandas()
-        if len(out) > self.most_pairs:
-            raise TooLarge(f"more than {self.most_pairs} pairs of levels; use the Implicit operator")
-        return out
+        return self._whole(grouped)
+
+    @cached_property
+    def _margins(self) -> pd.DataFrame:
+        """Single levels and totals: as many rows as unknowns, so they have no bound."""
+        return self._grouped([[k] for k in range(self.n_factors)] + [[]]).toPandas()
+
+    @cached_property
+    def _pairs(self) -> pd.DataFrame:
+        """Pairs of levels, if they are within the bound."""
+        if not self.pairs_fit:
+            raise TooLarge(f"more than {self.most_pairs} pairs of levels; use the Implicit operator without an explicit preconditioner, or with Preconditioner.Off")
+        return self._pair_groups().drop("n", "bad", "nulls").toPandas()
+
+    def _pair_groups(self) -> DataFrame:
+        return self._grouped([list(p) for p in combinations(range(self.n_factors), 2)])
+
+    @cached_property
+    def pairs_fit(self) -> bool:
+        """Whether there are at most ``most_pairs`` pairs of levels; they are counted in Spark unless rows and levels rule more out."""
+        if sum(min(self.n_obs, a * b) for a, b in combinations(self.n_levels, 2)) <= self.most_pairs:
+            return True
+        return self._pair_groups().count() <= self.most_pairs
 
     @staticmethod
     def _whole(grouped: DataFrame) -> DataFrame:
@@ -101,7 +120,8 @@ class Design:
 
     def _set(self, *which: int) -> pd.DataFrame:
         gid = sum(1 << (self.n_factors - 1 - k) for k in range(self.n_factors) if k not in which)
-        return self._scan[self._scan["gid"] == gid]
+        table = self._pairs if len(which) == 2 else self._margins
+        return table[table["gid"] == gid]
 
     @cached_property
     def n_obs(self) -> int:
@@ -176,7 +196,7 @@ class Design:
 
     @cached_property
     def gram(self) -> SparseMatrix:
-        """D'WD, put together from the tabulations; no second scan."""
+        """D'WD, put together from the tabulations; no scan of its own."""
         d = self.diagonal()
         rows, cols, vals = [np.arange(self.n_dofs)], [np.arange(self.n_dofs)], [d]
         for (q, r), t in self.tabs.items():

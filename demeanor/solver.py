@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .config import GMRES, LSMR, AdditiveSchwarz, MultiplicativeSchwarz, OperatorRepr, Preconditioner, check
 from .errors import BuildError, InvalidInput
 from .operators import schwarz
-from .operators.design import Design, gather
+from .operators.design import MOST_PAIRS, Design, gather
 from .operators.krylov import EPS, Outcome, cg, gmres, lsmr
 
 
@@ -69,18 +69,25 @@ class Solver:
 
     ``preconditioner``: None or ``Preconditioner.Additive``, ``Multiplicative`` (GMRES only), ``Off``, a
     configuration, or one built earlier for the same design. A single factor is solved in closed form.
+
+    With more than ``most_pairs`` pairs of levels, ``OperatorRepr.Auto`` goes implicit, and None stands for the
+    diagonal instead of additive Schwarz, also with ``Implicit``; what needs the pairs by name raises TooLarge.
     """
 
-    def __init__(self, df: DataFrame, factors: list[str], config=None, weights: str | None = None, preconditioner=None, levels: str = "observed", null_policy: str = "error"):
+    def __init__(self, df: DataFrame, factors: list[str], config=None, weights: str | None = None, preconditioner=None, levels: str = "observed", null_policy: str = "error", most_pairs: int = MOST_PAIRS):
         began = time.perf_counter()
         self.config, choice = check(config, preconditioner)
-        self.design = Design(df, factors, weights, levels, null_policy)
+        self.operator = getattr(self.config, "operator", OperatorRepr.Auto)
+        self.design = Design(df, factors, weights, levels, null_policy, most_pairs)
         self.design.n_obs
-        self._m = None
+        self._m = self._diagonal = None
         if isinstance(choice, schwarz.FePreconditioner):
             if choice.n != self.design.n_dofs or choice.fingerprint not in (0, self.design.fingerprint):
                 raise BuildError("the preconditioner was built for another design")
             self._m = choice
+        elif preconditioner is None and self.operator is not OperatorRepr.Explicit and not self.design.pairs_fit:
+            diag = self.design.diagonal()
+            self._diagonal = np.divide(1.0, diag, out=np.zeros_like(diag), where=diag > 0)
         elif choice is not Preconditioner.Off and self.design.n_factors > 1:
             assert isinstance(choice, AdditiveSchwarz | MultiplicativeSchwarz)
             gram = self.design.gram if isinstance(choice, MultiplicativeSchwarz) else None
@@ -94,15 +101,18 @@ class Solver:
         return self._m
 
     def _product(self):
-        if getattr(self.config, "operator", OperatorRepr.Auto) is OperatorRepr.Implicit:
+        if self.operator is OperatorRepr.Implicit or self.operator is OperatorRepr.Auto and not self.design.pairs_fit:
             return self.design.implicit_product
         return self.design.gram.matvec
 
+    def _apply(self):
+        return self._m if self._diagonal is None else lambda r: self._diagonal * r
+
     def _krylov(self, a, b: np.ndarray, tol: float) -> Outcome:
         c = self.config
         if isinstance(c, GMRES):
-            return gmres(a, b, self._m, tol, c.maxiter, c.restart)
-        return cg(a, b, self._m, tol, c.maxiter)
+            return gmres(a, b, self._apply(), tol, c.maxiter, c.restart)
+        return cg(a, b, self._apply(), tol, c.maxiter)
 
     def _residual_sums(self, names: list[str], x: np.ndarray) -> np.ndarray:
         """D'W(y - Dx) of all responses, in one pass over the observations."""
@@ -166,7 +176,7 @@ class Solver:
             v = root * u
             return sum(np.bincount(k, v, d.n_dofs) for k in codes)
 
-        return lsmr(a, at, b, self._m, c.tol, c.maxiter, c.local_size, extra)
+        return lsmr(a, at, b, self._apply(), c.tol, c.maxiter, c.local_size, extra)
 
     def _demeaned(self, names: list[str], x: np.ndarray, single: bool) -> DataFrame:
         df = self.design.df

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 import demeanor as D
-from demeanor.errors import EmptyObservations, InvalidInput
+from demeanor.errors import EmptyObservations, InvalidInput, TooLarge
 from demeanor.operators.design import Design
 from demeanor.sources import designs
 
@@ -76,3 +76,20 @@ def test_batch_reuse_and_regression(spark):
     e = {k: by_least_squares(p.assign(y=p[k]), ["f0", "f1"]) for k in ("y", "c")}
     got = D.regress(df, ["f0", "f1"], "a", ["c"], config=D.CG(tol=1e-12)).first()["slope"]
     assert abs(got - (e["y"] @ e["c"]) / (e["c"] @ e["c"])) < 1e-8
+
+
+@pytest.mark.parametrize("factors", [["f0", "f1"], ["f0", "f1", "f2"]])
+def test_more_pairs_than_the_bound(spark, factors):
+    rng = np.random.default_rng(4)
+    df = frame(spark, [rng.integers(0, 9, 150), rng.integers(0, 7, 150), rng.integers(0, 4, 150)], rng.normal(size=150), rng.random(150) + 0.1).cache()
+    want = by_least_squares(df.toPandas(), factors, "w")
+    auto, implicit, explicit = (D.CG(tol=1e-12, operator=o) for o in (D.OperatorRepr.Auto, D.OperatorRepr.Implicit, D.OperatorRepr.Explicit))
+    for config, m in ((auto, None), (auto, D.Preconditioner.Off), (implicit, None), (implicit, D.Preconditioner.Off), (D.GMRES(tol=1e-12), None)):
+        s = D.Solver(df, factors, config, "w", m, most_pairs=30)
+        r = s.solve("y")
+        assert r.converged and np.abs(left(r) - want).max() < 1e-9 and "_pairs" not in s.design.__dict__
+    for config, m in ((explicit, None), (explicit, D.Preconditioner.Off), (auto, D.Preconditioner.Additive), (D.GMRES(), D.Preconditioner.Multiplicative)):
+        with pytest.raises(TooLarge):
+            D.Solver(df, factors, config, "w", m, most_pairs=30).solve("y")
+    n = len(Design(df, factors)._pairs)
+    assert Design(df, factors, most_pairs=n).pairs_fit and not Design(df, factors, most_pairs=n - 1).pairs_fit
