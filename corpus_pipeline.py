@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demeanor.llm import bpe, jaccard, mixing, quality, secrets
@@ -16,14 +16,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8; documents without id stay."""
-    found = jaccard.jaccard_join(docs, n=5, num=8, den=10).where("doc_id = component_id")
-    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = docs.join(ids.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    if not ids.where("rows > 1").isEmpty():  # an id that stands in several rows
-        order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
-        kept = kept.select("*", F.row_number().over(order).alias("__nth")).where("__nth = 1").drop("__nth")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8; documents without id stay.
+
+    Rows that repeat an id with unlike texts are documents of their own.
+    """
+    return jaccard.one_of_each(docs, n=5, num=8, den=10)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ only one; without words or text the set is empty and links with nothing. Shingle
 
 So copies and near copies, however many, are never paired with each other all to all, and no link
 between different components is missed. Null ids link with nothing and have a null component; rows
-that repeat an id are each returned.
+that repeat an id are each returned, each with its own text's links: the join then works on numbers of
+rows, and a component's id is the smallest id of its rows (two components may hold the same one).
 """
 
 from __future__ import annotations
@@ -240,10 +241,10 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) ->
         return scratch.save(dealt.mapInArrow(run, "a long, b long, na long, nb long, both long"), name)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, n: int, longer: DataFrame, once: bool, scratch: Scratch, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, n: int, longer: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(a, b, na, nb, both) of the pairs that the longer prefixes let pass, on whole sets built from the texts again.
 
-    ``longer``: the longer prefixes by doc_id; ``once``: whether every id has one row only.
+    ``longer``: the longer prefixes by doc_id. Every id has one row only.
     """
     passed = _overlaps(pairs, longer, scratch, name + "-screen").where("both >= 1 + least(na, nb) div 16").select("a", "b")
     ids = scratch.save(passed.select(F.col("a").alias("doc_id")).unionAll(passed.select("b")).distinct(), name + "-ids")
@@ -260,7 +261,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, longer: DataFrame, once:
 
     texts = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi")
     sets = map_rows(texts, ["doc_id", "text"], "doc_id long, n long, h binary", make)
-    sets = scratch.save(sets if once else sets.dropDuplicates(["doc_id"]), name + "-sets")
+    sets = scratch.save(sets, name + "-sets")
     out = _overlaps(passed, sets, scratch, name)
     scratch.drop(sets)
     return out
@@ -268,9 +269,55 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, longer: DataFrame, once:
 
 def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest linked id, itself included) of every row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not _repeated(docs):
+        return _join(docs, n, num, den, scratch)
+    rows = _numbered(docs, scratch)
+    found = _join(_by_row(rows), n, num, den, scratch).withColumnRenamed("doc_id", "__row")
+    of = found.join(rows.select("__row", "doc_id"), "__row", "left")
+    least = of.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    out = of.join(least, "component_id", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    return scratch.save(out, "by-id")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The row of smallest id of each component, and all rows without id.
+
+    Where an id stands in several rows, each of them with another set counts by itself; of rows with one id
+    in one component, or with one id and the empty set, the one with the smallest hash stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    nameless = docs.where("doc_id IS NULL")
+    if not _repeated(docs):
+        found = _join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, num, den, scratch).where("doc_id = component_id")
+        kept = docs.join(found.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+        return kept.select(*docs.columns).unionByName(nameless)
+    rows = _numbered(docs.where("doc_id IS NOT NULL"), scratch)
+    found = _join(_by_row(rows), n, num, den, scratch).withColumnRenamed("doc_id", "__row")
+    order = F.struct("doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]).alias("hash"), "__row")
+    ranked = found.join(rows.select("__row", "doc_id", order.alias("order")), "__row")
+    empty = F.col("n_shingles") == 0
+    first = ranked.groupBy(empty.alias("empty"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("key")).agg(F.min("order").alias("order"))
+    kept = rows.join(first.select(F.col("order.__row").alias("__row")), "__row", "left_semi")
+    return kept.select(*docs.columns).unionByName(nameless)
+
+
+def _repeated(docs: DataFrame) -> bool:
+    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with a number each, in ``__row``; written down, so that it stays."""
+    return scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    return rows.select(F.when(F.col("doc_id").isNotNull(), F.col("__row")).alias("doc_id"), "text")
+
+
+def _join(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The join of rows whose ids, where not null, are longs and each stand in one row."""
     profiles = scratch.save(_profiles(docs, n, num, den, _heavy(docs, n)), "profiles")
     real = profiles.where("n > 0 AND doc_id IS NOT NULL")
     reps = scratch.save(real.groupBy("n", "s1", "s2", "psig").agg(F.min("doc_id").alias("rep")), "sets")
@@ -289,11 +336,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> Da
     inside = grouped.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     first = scratch.save(stars.select(F.col("pivot").alias("a"), F.col("c").alias("b")).unionAll(inside), "stars")
     longer = profiles.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", F.col("longer").alias("h"))
-    once = profiles.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
-    longer = longer if once else longer.dropDuplicates(["doc_id"])
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        return _verify(pairs, docs, n, longer, once, scratch, name)
+        return _verify(pairs, docs, n, longer, scratch, name)
 
     linked = f"both * {den} >= (na + nb - both) * {num}"
     gap = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))

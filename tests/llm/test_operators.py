@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
+from corpus_pipeline import near_duplicates  # noqa: E402
 from demeanor.llm import bpe, embeddings, jaccard, langid, mixing, pii, quality, secrets, toxicity, urls  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _t string, spans string"
@@ -58,6 +59,20 @@ def test_jaccard_join(spark, docs):
     assert [got[i].n_shingles for i in range(len(texts))] == list(map(len, sets)) and got[None].component_id is None
 
 
+def test_repeated_ids_keep_their_own_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, a), (5, b), (5, b + " x"), (7, a + " y"), (9, "b0 " + b), (9, None), (9, ""), (3, "one of its own"), (None, a), (2, a + " y z")]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").repartition(3)
+    sets = [shingles(t, 5) for _, t in rows]
+    label = components(len(rows), lambda i, j: None not in (rows[i][0], rows[j][0]) and bool(sets[i] and sets[j]) and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
+    want = [(i, len(s), None if i is None else min(rows[k][0] for k in range(len(rows)) if label[k] == label[r])) for r, ((i, _), s) in enumerate(zip(rows, sets))]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted((tuple(r) for r in jaccard.jaccard_join(df, 5, 8, 10).collect()), key=key) == sorted(want, key=key)
+    kept = [(r.doc_id, r.text) for r in near_duplicates(spark, df, "").collect()]
+    assert {t for i, t in kept if i == 5} in ({b}, {b + " x"}) and (2, a + " y z") in kept and (3, "one of its own") in kept and (None, a) in kept
+    assert len([i for i, t in kept if i == 9 and not t]) == 1 and len(kept) == 5
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard.jaccard_join(none).count() == 0 and quality.quality_rules(none).count() == 0
