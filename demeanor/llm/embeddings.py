@@ -3,8 +3,9 @@
 Unit vectors with cosine c lie at squared distance 2 - 2c. Vectors are turned by a fixed random
 rotation and split into blocks of few dimensions, each with a share of the squared distance in
 proportion to its dimensions: two vectors that link are within budget in at least one block. Each
-block is a range join: cells of its first coordinate, as wide as the budget, meet their neighbours,
-in tiles of bounded size, and pairs within the block's budget become candidates. Candidates are
+block is a range join: cells of its first coordinate, as wide as the budget and the slack by which pairs
+are given to blocks, meet their neighbours, in tiles of bounded size, and pairs within the block's budget
+become candidates. Candidates are
 verified exactly, in double precision, on the whole vectors; a pair counts in the first block that
 proposes it.
 
@@ -30,6 +31,7 @@ from .components import components
 BLOCK_DIMENSIONS = 16
 TILE = 1 << 15
 SEED = 3
+SLACK = 1e-5  # single precision finds candidates, generously; double precision decides
 
 
 def _rotation(d: int) -> np.ndarray:
@@ -92,7 +94,7 @@ def _cells(d: int, kind: str, distance: float):
                 raw = b.column("v").to_pylist()
                 x = _unit(_read(raw, kind, d)) @ rotation
                 for k, (part, budget) in enumerate(plan):
-                    cell = np.floor(x[:, part.start] / np.sqrt(budget * (1 + 1e-9) + 1e-12)).astype(np.int32)
+                    cell = np.floor(x[:, part.start] / np.sqrt(budget + SLACK)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), k, np.int32)), pa.array(cell), b.column("id"), b.column("copies"), b.column("v")], ["block", "cell", "id", "copies", "v"])
 
     return run
@@ -119,7 +121,6 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 def _compare(d: int, kind: str, least: float, distance: float):
     """Links of one pair of tiles (or of a tile within itself)."""
     rotation, plan = _rotation(d), _plan(d, distance)
-    slack = 1e-5  # single precision finds candidates, generously; double precision decides
 
     def run(key, pdf):
         import pandas as pd
@@ -139,7 +140,7 @@ def _compare(d: int, kind: str, least: float, distance: float):
         for at in range(0, len(x), 256):
             some = x[at : at + 256]
             apart = (some * some).sum(axis=1)[:, None] + y2 - 2 * (some @ y.T)
-            i, j = np.nonzero(apart <= budget + slack)
+            i, j = np.nonzero(apart <= budget + SLACK)
             i += at
             if same:
                 i, j = i[i < j], j[i < j]
@@ -153,8 +154,8 @@ def _compare(d: int, kind: str, least: float, distance: float):
             first = np.ones(len(p), bool)
             for k in range(block):
                 e, most = plan[k]
-                first &= ~(((rotated[0][p, e] - rotated[1][q, e]) ** 2).sum(axis=1) <= most + slack / 2)
-            mine = ((rotated[0][p, part] - rotated[1][q, part]) ** 2).sum(axis=1) <= budget + slack / 2
+                first &= ~(((rotated[0][p, e] - rotated[1][q, e]) ** 2).sum(axis=1) <= most + SLACK / 2)
+            mine = ((rotated[0][p, part] - rotated[1][q, part]) ** 2).sum(axis=1) <= budget + SLACK / 2
             keep.append(first & mine & ((u[0][p] * u[1][q]).sum(axis=1) >= least))
         ok = np.concatenate(keep) if keep else np.zeros(0, bool)
         i, j = i[ok], j[ok]

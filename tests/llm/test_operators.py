@@ -169,6 +169,25 @@ def test_near_vectors(spark):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in (60, 61, 62, 63, 65)) and got[None].component_id is None
 
 
+def test_pairs_at_the_edge_of_a_block_budget_link(spark):
+    """A pair that the first block owns by its slack, its distance there all in the first coordinate, across a whole cell."""
+    d, least = 32, 0.95
+    rotation, (part, budget) = embeddings._rotation(d), embeddings._plan(d, 2 - 2 * least)[0]
+    width, gap = np.sqrt(budget), np.sqrt(budget + 2.5e-6)
+    rows = []
+    for k in range(-3, 3):
+        x = np.zeros((2, d))
+        x[:, 0] = k * width - 1e-6, k * width - 1e-6 + gap
+        x[:, part.stop + k] = np.sqrt(1 - x[:, 0] ** 2)
+        rows += [(2 * (k + 3) + i, v.tolist()) for i, v in enumerate(x @ rotation.T)]
+    y = np.array([v for _, v in rows])
+    assert (np.diff(y.reshape(-1, 2, d), axis=1) ** 2).sum(axis=2).max() < 2 - 2 * least
+    near = y @ y.T >= least
+    label = components(len(rows), lambda i, j: near[i, j])
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(rows))] == [(near[i].sum() - 1, label[i]) for i in range(len(rows))]
+
+
 def test_language_forward_sums_all_segmentations():
     path = P.path("piece_bpe_32k.model")
     langs, probs = langid.fit({"a": Counter({"hello": 5, "help": 2}), "b": Counter({"bonjour": 4})}, path)
