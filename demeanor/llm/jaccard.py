@@ -18,7 +18,10 @@ only one; without words or text the set is empty and links with nothing. Shingle
    several shingles, and those that pass are verified exactly on the whole sets.
 
 So copies and near copies, however many, are never paired with each other all to all, and no link
-between different components is missed. Null ids link with nothing and have a null component; rows
+between different components is missed. With ``links=True`` there is no such shortcut: all pairs of
+distinct sets that share a prefix shingle are screened and verified, and each row gets its number of
+links, copies included; the work then grows with the number of links, so with the square of a group of
+near copies. Null ids link with nothing and have a null component; rows
 that repeat an id are each returned, each with its own text's links: the join then works on numbers of
 rows, and a component's id is the smallest id of its rows (two components may hold the same one).
 """
@@ -267,17 +270,17 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, longer: DataFrame, scratc
     return out
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest linked id, itself included) of every row."""
+def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest linked id, itself included) and, if asked for, n_links of every row."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not _repeated(docs):
-        return _join(docs, n, num, den, scratch)
+        return _join(docs, n, num, den, scratch, links)
     rows = _numbered(docs, scratch)
-    found = _join(_by_row(rows), n, num, den, scratch).withColumnRenamed("doc_id", "__row")
+    found = _join(_by_row(rows), n, num, den, scratch, links).withColumnRenamed("doc_id", "__row")
     of = found.join(rows.select("__row", "doc_id"), "__row", "left")
     least = of.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("doc_id").alias("least"))
-    out = of.join(least, "component_id", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    out = of.join(least, "component_id", "left").select("doc_id", "n_shingles", F.col("least").alias("component_id"), *(["n_links"] if links else []))
     return scratch.save(out, "by-id")
 
 
@@ -316,11 +319,18 @@ def _by_row(rows: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("doc_id").isNotNull(), F.col("__row")).alias("doc_id"), "text")
 
 
-def _join(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+def _join(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch, links: bool = False) -> DataFrame:
     """The join of rows whose ids, where not null, are longs and each stand in one row."""
     profiles = scratch.save(_profiles(docs, n, num, den, _heavy(docs, n)), "profiles")
     real = profiles.where("n > 0 AND doc_id IS NOT NULL")
-    reps = scratch.save(real.groupBy("n", "s1", "s2", "psig").agg(F.min("doc_id").alias("rep")), "sets")
+    reps = scratch.save(real.groupBy("n", "s1", "s2", "psig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
+    longer = real.select("doc_id", "n", F.col("longer").alias("h"))
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        return _verify(pairs, docs, n, longer, scratch, name)
+
+    if links:
+        return _counted(profiles, real, reps, verify, num, den, scratch)
     leaders = reps.groupBy("n", "psig").agg(F.min("rep").alias("leader"))
     grouped = scratch.save(reps.join(leaders, ["n", "psig"]).select("rep", "leader", "n"), "groups")
     heads = leaders.join(real.select(F.col("doc_id").alias("leader"), "n", "psig", "prefix"), ["leader", "n", "psig"])
@@ -335,11 +345,6 @@ def _join(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> Data
     stars = shared.where("c <> pivot").select("pivot", "c", "n").distinct().join(size_of, "pivot").where(near_size("n", "np"))
     inside = grouped.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     first = scratch.save(stars.select(F.col("pivot").alias("a"), F.col("c").alias("b")).unionAll(inside), "stars")
-    longer = profiles.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", F.col("longer").alias("h"))
-
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        return _verify(pairs, docs, n, longer, scratch, name)
-
     linked = f"both * {den} >= (na + nb - both) * {num}"
     gap = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     one = verify(first, "first").withColumn("d", F.lit(1.0) - gap)
@@ -393,6 +398,25 @@ def _join(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> Data
     return scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id")), "result")
 
 
+def _counted(profiles: DataFrame, real: DataFrame, reps: DataFrame, verify, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The join with numbers of links: every two distinct sets that link, weighted by their copies."""
+    tokens = reps.select(F.col("rep").alias("doc_id")).join(real.select("doc_id", "n", F.posexplode("prefix").alias("pos", "w")), "doc_id")
+    tokens = scratch.save(tokens, "tokens")
+    one, two = (tokens.select("w", *[F.col(x).alias(x + k) for x in ("doc_id", "n", "pos")]) for k in "12")
+    near = f"doc_id1 < doc_id2 AND n1 * {den} >= n2 * {num} AND n2 * {den} >= n1 * {num} AND {_reach('n1', 'pos1', 'n2', 'pos2', 'n1', 'n2', num, den)}"
+    pairs = scratch.save(one.join(two, "w").where(near).select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct(), "pairs")
+    found = scratch.save(verify(pairs, "every").where(f"both * {den} >= (na + nb - both) * {num}").select("a", "b"), "every-link")
+    comp = components(found, scratch)
+    copies = reps.select(F.col("rep").alias("b"), "copies")
+    both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    count = both.join(copies, "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
+    n_links = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
+    of_set = reps.join(comp.join(count, "id"), reps["rep"] == comp["id"], "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"), n_links.alias("n_links"))
+    out = profiles.select("doc_id", "n", "s1", "s2").join(of_set, ["n", "s1", "s2"], "left")
+    known = F.col("doc_id").isNotNull()
+    return scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("comp", "doc_id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")), "result")
+
+
 def _reach(n1: str, p1: str, n2: str, p2: str, m1: str, m2: str, num: int, den: int) -> str:
     """Whether sets of at most n1 and n2, that share no prefix shingle before places p1 and p2, may overlap enough for sizes of at least m1 and m2.
 

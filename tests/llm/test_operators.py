@@ -59,6 +59,27 @@ def test_jaccard_join(spark, docs):
     assert [got[i].n_shingles for i in range(len(texts))] == list(map(len, sets)) and got[None].component_id is None
 
 
+def test_jaccard_links_are_counted_inside_components(spark):
+    rng = np.random.default_rng(5)
+    texts = list(TEXTS)
+    for k in range(40):
+        t = [f"w{k % 2}x{j}" for j in range(60)]
+        for j in rng.integers(0, 60, rng.integers(0, 4)):
+            t[j] = f"v{rng.integers(0, 9)}"
+        texts.append(" ".join(t))
+    texts += texts[-3:]
+    ids = [*range(len(texts) - 1), 20]  # the last row repeats an id with another text
+    sets = [shingles(t, 3) for t in texts]
+    near = [[bool(a and b) and 10 * len(a & b) >= 8 * len(a | b) for b in sets] for a in sets]
+    for rows in (range(len(texts) - 1), range(len(texts))):
+        df = spark.createDataFrame([(ids[i], texts[i]) for i in rows] + [(None, texts[-1])], "doc_id long, text string")
+        label = components(len(rows), lambda i, j: near[i][j])
+        want = [(ids[i], len(sets[i]), min(ids[j] for j in rows if label[j] == label[i]), sum(near[i][j] for j in rows if j != i)) for i in rows]
+        got = [tuple(r) for r in jaccard.jaccard_join(df, 3, 8, 10, links=True).collect()]
+        assert sorted(r for r in got if r[0] is not None) == sorted(want) and max(r[3] for r in want) > 3
+        assert [r for r in got if r[0] is None] == [(None, len(sets[-1]), None, 0)]
+
+
 def test_repeated_ids_keep_their_own_texts(spark):
     a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
     rows = [(5, a), (5, b), (5, b + " x"), (7, a + " y"), (9, "b0 " + b), (9, None), (9, ""), (3, "one of its own"), (None, a), (2, a + " y z")]
