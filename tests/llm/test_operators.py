@@ -10,6 +10,9 @@ import numpy as np
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
+from pyspark.sql import functions as F  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
 from corpus_pipeline import near_duplicates  # noqa: E402
 from demeanor.llm import bpe, embeddings, jaccard, langid, mixing, pii, quality, secrets, toxicity, urls  # noqa: E402
 
@@ -94,6 +97,49 @@ def test_repeated_ids_keep_their_own_texts(spark):
     assert len([i for i, t in kept if i == 9 and not t]) == 1 and len(kept) == 5
 
 
+def test_pipeline_stages(spark, tmp_path):
+    long_text = "It is the case that we have to be in the house with all of you. " + " ".join(f"word{k} of the thing and" for k in range(40))
+    other = "The others are of a kind that we have seen in the town. " + " ".join(f"item{k} to be with the" for k in range(40))
+    texts = [None, "", long_text, long_text, long_text + " more", other, other + ' password = "hunter22"', "short one", "  \n", *(f"{k} {other[::-1]} the of and {k}" for k in range(3))]
+    rows = [(i, t, "en", "ab"[i % 2], len(t or "")) for i, t in enumerate(texts)] + [(None, other, "en", None, len(other))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = lambda df: sorted(map(str, df.collect()))
+    df = spark.createDataFrame(rows, schema)
+    steps = dict(corpus_pipeline.STAGES)
+    judged = {r.doc_id for r in quality.quality_rules(df).where("kept").collect()}
+    assert {r.doc_id for r in steps["quality_rules"](spark, df, "").collect()} == judged and 0 < len(judged) < len(rows)
+    sets = [shingles(t, 5) for t in texts]
+    label = components(len(texts), lambda i, j: bool(sets[i] and sets[j]) and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
+    got = steps["ngram_jaccard_join"](spark, df, "")
+    assert plain(got) == sorted(map(str, df.where(F.col("doc_id").isin(sorted(set(label))) | F.col("doc_id").isNull()).collect()))
+    scanner = secrets.SecretScanner()
+    clean = {r.doc_id: (r.text, r.n_chars) for r in steps["secret_scans"](spark, df, "").collect()}
+    for i, t, _, _, n in rows:
+        found = scanner.scan([t])[0]
+        assert clean[i] == ((secrets.redact(t, found), len(secrets.redact(t, found))) if found else (t, n))
+    mixed = steps["mixing_sources"](spark, df, "").collect()
+    assert {str(r) for r in mixed} <= set(plain(df)) and len(mixed) > 0
+    codec = bpe.codec(corpus_pipeline.tokenizer(corpus_pipeline.BPE_FILE), P.PATTERN)
+    coded = {r.doc_id: (list(r.ids), r.n_tokens) for r in steps["byte_bpe"](spark, df, "").collect()}
+    assert coded == {r[0]: (codec.encode(r[1]), len(codec.encode(r[1]))) for r in rows}
+    for name, part in (("some", df), ("none", df.limit(0))):
+        part.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        step = part
+        for _, stage in corpus_pipeline.STAGES:
+            step = stage(spark, step, "")
+        assert plain(corpus_pipeline.run(spark, f"{tmp_path}/{name}")) == plain(step)
+
+
+def test_language_on_dataframes(spark):
+    rows = [(i, ["hello there my friend", "bonjour mon ami"][i % 2], ["en", "fr"][i % 2]) for i in range(30)] + [(30, None, "en"), (31, "", None), (31, "hello friend", None), (None, "bonjour ami", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    path = P.path("piece_bpe_32k.model")
+    got = langid.identify(df, langid.learn(df, path), path).collect()
+    want = [(i, lang or ("und" if not t else "en" if "hello" in t else "fr")) if t else (i, "und") for i, t, lang in rows]
+    assert sorted(map(str, ((r.doc_id, r.lang_pred) for r in got))) == sorted(map(str, want))
+    assert langid.identify(df.limit(0), langid.learn(df.limit(0), path), path).count() == 0
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard.jaccard_join(none).count() == 0 and quality.quality_rules(none).count() == 0
