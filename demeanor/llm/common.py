@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -18,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where none is set (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Only where none is set and Spark runs in one process, a temporary one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOTS:
         _OWN_ROOTS[app] = tempfile.mkdtemp(prefix="demeanor-")
+        atexit.register(shutil.rmtree, _OWN_ROOTS[app], ignore_errors=True)
     return _OWN_ROOTS[app]
 
 
@@ -34,27 +40,23 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.base = f"{shared_root(spark)}/demeanor/{uuid.uuid4().hex}"
-        self.made: list[str] = []
+        self.made = 0
+        self.held: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{len(self.made)}-{name}"
-        schema = df.schema
+        path = f"{self.base}/{self.made}-{name}"
+        self.made += 1
         df.write.parquet(path)
-        self.made.append(path)
-        return self.spark.read.schema(schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete the tables' files; only for tables that nothing lazy refers to any more."""
-        for t in tables:
-            files = t.inputFiles()[:1]
-            for path in self.made:
-                if any(f"/{path.split('/demeanor/')[1]}/" in f for f in files):
-                    self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        """Delete the files of saved tables that nothing lazy refers to any more; other tables are left alone."""
+        for path in [path for t, path in self.held if any(t is x for x in tables)]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.held = [(t, path) for t, path in self.held if not any(t is x for x in tables)]
 
 
 def map_rows(

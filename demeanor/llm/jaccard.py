@@ -2,48 +2,54 @@
 
 Texts are lower-cased (A-Z), words are runs of characters other than space and U+0009 to U+000D. A
 document's set holds its distinct shingles of ``n`` words; with fewer words the whole sequence is the
-only one; without words or text the set is empty and links with nothing. Shingles are compared by
-64-bit hashes. Two documents link if ``den * intersection >= num * union``.
-
-1. Documents with equal sets collapse to the one of smallest id.
-2. Shingles have one order for all documents, frequent ones last; a set's prefix is so long that two
-   sets that link share a shingle of their prefixes. Sets with the same prefix and size form a group.
-3. Groups that share a prefix shingle meet. In each such block the group of smallest id is compared
-   with the others, and each group's members with its first: as many comparisons as entries. Links
-   so found merge into components.
-4. Blocks that lie within one component are done. In the others, groups are represented by those
-   that they linked with; Jaccard distance being a metric, pairs of representatives that are too far
-   apart for any of their members to link are dropped, and the others are expanded to members.
-5. Every pair that is left is screened on somewhat longer prefixes, of which sets that link share
-   several shingles, and those that pass are verified exactly on the whole sets.
+only one; without words or text the set is empty and links with nothing. Shingles, sets and prefixes are
+compared by hashes of 64 bits or more (57 bits for shingles in prefixes, which only adds candidates).
+Two documents link if ``den * intersection >= num * union``.
+
+1. Shingles have one order for all documents, rare ones first: a count sketch of fixed size, summed over
+   all texts, gives their frequencies. A set's prefix is so long that two sets that link share a shingle
+   of their prefixes. Documents with equal sets collapse to the one of smallest id; sets with the same
+   prefix and size form a group, led by its smallest id.
+2. Groups that share a prefix shingle meet in its block. Its centre, the group whose prefix is shared most,
+   is compared with the block's others, and each group's first with its members: as many comparisons as
+   entries. Links so found merge into components.
+3. Blocks that lie inside one component are done. In the others, groups of different components are
+   paired if their sizes and the shingle's places in their prefixes allow a link.
+4. Group pairs are filtered by an upper bound on their overlap, from bitmaps of their sets. Jaccard
+   distance being a metric, a pair too far apart for any of its groups' members to link is dropped, and
+   the others are expanded to members.
+5. What is left is verified exactly on the whole sets.
 
 So copies and near copies, however many, are never paired with each other all to all, and no link
 between different components is missed. With ``links=True`` there is no such shortcut: all pairs of
-distinct sets that share a prefix shingle are screened and verified, and each row gets its number of
+distinct sets that share a prefix shingle are filtered and verified, and each row gets its number of
 links, copies included; the work then grows with the number of links, so with the square of a group of
-near copies. Null ids link with nothing and have a null component; rows
-that repeat an id are each returned, each with its own text's links: the join then works on numbers of
-rows, and a component's id is the smallest id of its rows (two components may hold the same one).
+near copies.
+
+Null ids link with nothing and have a null component; rows that repeat an id are each returned, each
+with its own text's links: the join then works on numbers of rows, and a component's id is the smallest
+id of its rows (two components may hold the same one). An empty table gives an empty table; other columns
+of the input, whatever their names, are not read. Long texts are hashed whole, in pieces.
 """
 
 from __future__ import annotations
 
 import contextlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_rows
 from .components import components
 
-HEAVY_SHINGLES = 1 << 17
-HEAVY_IN_TASK = 16
+SKETCH_BITS = 22  # 4 MB where it is broadcast; a shingle stands out once it is more frequent than the rest of its bucket
+SKETCH_PARTS = 256
 PAIRS_IN_TASK = 400
 BROADCAST_IDS = 1_000_000
 PIECE_BYTES = 1 << 20
@@ -131,53 +137,79 @@ class Shingler:
         return out
 
 
-def _heavy(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingles that are frequent in some partition, with the binary order of their counts: (hash, order), sorted by hash.
+def _levels(docs: DataFrame, n: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Quarters of the binary logarithm of how many sets have a shingle of each bucket, all documents counted.
 
-    It only shapes the order of shingles; any such table gives the same links. Its size is bounded.
+    Tasks count in arrays of fixed size; parts of the arrays are added up in Spark, one by one, so the result
+    and what any task holds do not grow with the input. It only shapes the order of shingles.
     """
+    size = (1 << bits) // SKETCH_PARTS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(n), Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen, shift = Shingler(n), np.zeros(1 << bits, np.uint32), np.uint64(64 - bits)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                sets = shingler.many(b.column(0).slice(at, 1024).to_pylist())
-                if sets:
-                    h, c = np.unique(np.concatenate(sets), return_counts=True)
-                    for x, k in zip(h[c > 3].tolist(), c[c > 3].tolist()):
-                        seen[x] += k
-        rows = [(x, k) for x, k in seen.most_common(HEAVY_SHINGLES) if k >= HEAVY_IN_TASK]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([x for x, _ in rows], np.uint64).view(np.int64)), pa.array([k for _, k in rows], pa.int64())], ["h", "k"])
-
-    found = docs.select("text").mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).orderBy(F.desc("k"), "h").limit(HEAVY_SHINGLES).toPandas()
-    h = found["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return np.stack([h[order], np.log2(np.maximum(found["k"].to_numpy()[order], 1)).astype(np.uint64) + np.uint64(1)]) if len(h) else np.zeros((2, 0), np.uint64)
+            for at in range(0, b.num_rows, 512):
+                if sets := shingler.many(b.column(0).slice(at, 512).to_pylist()):
+                    np.add.at(seen, (np.concatenate(sets) >> shift).astype(np.int64), np.uint32(1))
+        if not seen.any():
+            return
+        parts = [zstandard.compress(seen[k * size : (k + 1) * size].tobytes(), 1) for k in range(SKETCH_PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, last = np.zeros(size, np.int64), None
+        for b in batches:
+            for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if last not in (None, part):
+                    yield done(last, total)
+                    total[:] = 0
+                total += np.frombuffer(zstandard.decompress(counts), np.uint32)
+                last = part
+        if last is not None:
+            yield done(last, total)
+
+    def done(part: int, total: np.ndarray) -> pa.RecordBatch:
+        level = np.ceil(4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "level"])
+
+    counted = docs.select("text").mapInArrow(count, "part int, counts binary")
+    levels = counted.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, level binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for part, level in levels.collect():
+        out[part * size : (part + 1) * size] = np.frombuffer(level, np.uint8)
+    return out
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _ordered(h: np.ndarray, heavy: np.ndarray, size: int) -> np.ndarray:
-    """The first ``size`` shingles in the global order: by frequency class, then hash."""
-    rank = np.zeros(len(h), np.uint64)
-    if heavy.shape[1]:
-        at = np.minimum(np.searchsorted(heavy[0], h), heavy.shape[1] - 1)
-        hit = heavy[0][at] == h
-        rank[hit] = heavy[1][at[hit]]
-    key = rank << np.uint64(58) | h >> np.uint64(6)
-    return np.sort(key)[:size] if size >= len(key) else np.sort(np.partition(key, size - 1)[:size])
+def _prefix(h: np.ndarray, levels: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` shingles in the global order: by level of frequency, then hash."""
+    level = levels[h >> np.uint64(65 - len(levels).bit_length())].astype(np.uint64)
+    key = level << np.uint64(57) | h >> np.uint64(7)
+    return np.sort(key) if size >= len(key) else np.sort(np.partition(key, size - 1)[:size])
+
 
+def _bitmap(h: np.ndarray) -> bytes:
+    """For each of at least 2 bits a shingle, whether an odd number of shingles falls on it."""
+    size = max(64, 1 << (2 * len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").tobytes()
 
-def _more(n: int) -> int:
-    """How many shingles the longer prefixes of two sets that link share at least, by the size of the smaller."""
-    return 1 + n // 16
 
+def _most_common(na: int, nb: int, x: bytes, y: bytes) -> int:
+    """No less than what sets of these sizes and bitmaps have in common: every odd bit of both together stands for a shingle of one only."""
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(u) > len(v):
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return min(na, nb, (na + nb - int(np.bitwise_count(u ^ v).sum())) // 2)
 
-def _profiles(docs: DataFrame, n: int, num: int, den: int, heavy: np.ndarray) -> DataFrame:
-    """doc_id, set size, a 128-bit signature of the set, its prefix, the prefix's signature and the longer prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+def _profiles(docs: DataFrame, n: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
+    """doc_id, set size, a 128-bit signature of the set, its group (a signature of size and prefix), its prefix and its bitmap."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def make():
         shingler, order = Shingler(n), shared.value
@@ -185,18 +217,16 @@ def _profiles(docs: DataFrame, n: int, num: int, den: int, heavy: np.ndarray) ->
         def work(cols):
             out: list[list] = [[] for _ in range(7)]
             for doc_id, h in zip(cols[0], shingler.many(cols[1])):
-                size = prefix_size(len(h), num, den) if len(h) else 0
-                longer = _ordered(h, order, size - 1 + _more(len(h))) if len(h) else h
-                prefix = longer[:size]
+                prefix = _prefix(h, order, prefix_size(len(h), num, den)) if len(h) else h
                 sign = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.int64).tolist()
-                row = (doc_id, len(h), *sign, xxhash.xxh3_64_intdigest(prefix.tobytes()) - (1 << 63), prefix.view(np.int64), longer.tobytes())
-                for c, v in zip(out, row):
+                group = xxhash.xxh3_64_intdigest(prefix.tobytes(), len(h)) - (1 << 63)
+                for c, v in zip(out, (doc_id, len(h), *sign, group, prefix.view(np.int64), _bitmap(h) if len(h) else None)):
                     c.append(v)
             return out
 
         return work
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, n long, s1 long, s2 long, psig long, prefix array<long>, longer binary", make)
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, n long, s1 long, s2 long, g long, prefix array<long>, bits binary", make)
 
 
 @contextlib.contextmanager
@@ -244,13 +274,20 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) ->
         return scratch.save(dealt.mapInArrow(run, "a long, b long, na long, nb long, both long"), name)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, n: int, longer: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b, na, nb, both) of the pairs that the longer prefixes let pass, on whole sets built from the texts again.
+def _filter_pairs(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(a, b, na, nb, most) of pairs of ids: sizes, and an upper bound on what their sets have in common."""
+    sides = [bitmaps.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits_" + x)) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
 
-    ``longer``: the longer prefixes by doc_id. Every id has one row only.
-    """
-    passed = _overlaps(pairs, longer, scratch, name + "-screen").where("both >= 1 + least(na, nb) div 16").select("a", "b")
-    ids = scratch.save(passed.select(F.col("a").alias("doc_id")).unionAll(passed.select("b")).distinct(), name + "-ids")
+    def make():
+        return lambda cols: [*cols[:4], [_most_common(*x) for x in zip(*cols[2:])]]
+
+    return map_rows(both, both.columns, "a long, b long, na long, nb long, most long", make, chunk_rows=4096)
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b, na, nb, both) of the pairs, on whole sets built from the texts again. Every id has one row only."""
+    ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct(), name + "-ids")
     few = ids.count() <= BROADCAST_IDS
 
     def make():
@@ -263,10 +300,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, longer: DataFrame, scratc
         return work
 
     texts = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = map_rows(texts, ["doc_id", "text"], "doc_id long, n long, h binary", make)
-    sets = scratch.save(sets, name + "-sets")
-    out = _overlaps(passed, sets, scratch, name)
-    scratch.drop(sets)
+    sets = scratch.save(map_rows(texts, ["doc_id", "text"], "doc_id long, n long, h binary", make), name + "-sets")
+    out = _overlaps(pairs, sets, scratch, name)
+    scratch.drop(ids, sets)
     return out
 
 
@@ -321,105 +357,132 @@ def _by_row(rows: DataFrame) -> DataFrame:
 
 def _join(docs: DataFrame, n: int, num: int, den: int, scratch: Scratch, links: bool = False) -> DataFrame:
     """The join of rows whose ids, where not null, are longs and each stand in one row."""
-    profiles = scratch.save(_profiles(docs, n, num, den, _heavy(docs, n)), "profiles")
+    profiles = scratch.save(_profiles(docs, n, num, den, _levels(docs, n)), "profiles")
     real = profiles.where("n > 0 AND doc_id IS NOT NULL")
-    reps = scratch.save(real.groupBy("n", "s1", "s2", "psig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
-    longer = real.select("doc_id", "n", F.col("longer").alias("h"))
+    bitmaps = real.select("doc_id", "n", "bits")
+    reps = scratch.save(real.groupBy("n", "s1", "s2", "g").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        return _verify(pairs, docs, n, longer, scratch, name)
+        passed = scratch.save(pairs.where(linked("most")).select("a", "b"), name + "-passed")
+        out = _verify(passed, docs, n, scratch, name)
+        scratch.drop(passed)
+        return out.where(linked("both")).withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both")))
+
+    def linked(both: str) -> str:
+        return f"{both} * {den} >= (na + nb - {both}) * {num}"
 
     if links:
-        return _counted(profiles, real, reps, verify, num, den, scratch)
-    leaders = reps.groupBy("n", "psig").agg(F.min("rep").alias("leader"))
-    grouped = scratch.save(reps.join(leaders, ["n", "psig"]).select("rep", "leader", "n"), "groups")
-    heads = leaders.join(real.select(F.col("doc_id").alias("leader"), "n", "psig", "prefix"), ["leader", "n", "psig"])
-    tokens = heads.select(F.col("leader").alias("c"), "n", F.posexplode("prefix").alias("pos", "w")).where("w IS NOT NULL")
-    blocks = tokens.groupBy("w").agg(F.min("c").alias("pivot"), F.max("c").alias("last")).where("pivot < last").select("w", "pivot")
-    shared = scratch.save(tokens.join(blocks, "w").select("w", "pos", "n", "c", "pivot"), "shared")
-
-    def near_size(a: str, b: str) -> str:
-        return f"{a} * {den} >= {b} * {num} AND {b} * {den} >= {a} * {num}"
-
-    size_of = grouped.where("rep = leader").select(F.col("leader").alias("pivot"), F.col("n").alias("np"))
-    stars = shared.where("c <> pivot").select("pivot", "c", "n").distinct().join(size_of, "pivot").where(near_size("n", "np"))
-    inside = grouped.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    first = scratch.save(stars.select(F.col("pivot").alias("a"), F.col("c").alias("b")).unionAll(inside), "stars")
-    linked = f"both * {den} >= (na + nb - both) * {num}"
-    gap = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    one = verify(first, "first").withColumn("d", F.lit(1.0) - gap)
-    links = one.where(linked).select("a", "b")
-    comp = components(links, scratch)
-
-    # Groups' members that don't link with their first stand for themselves, with its prefix.
-    loose = inside.join(one.where(linked).select("a", "b"), ["a", "b"], "left_anti")
-    joined = inside.join(one.where(linked).select("a", "b", "d"), ["a", "b"])
-    spread = joined.groupBy(F.col("a").alias("c")).agg(F.max("d").alias("spread"))
-    entries = shared.select("w", "pos", "n", "c")
-    entries = entries.unionAll(entries.join(loose, entries["c"] == loose["a"]).select("w", "pos", "n", F.col("b").alias("c")))
-    entries = entries.join(comp.select(F.col("id").alias("c"), "comp"), "c", "left").select("w", "pos", "n", "c", F.coalesce("comp", "c").alias("comp"))
-    # a group whose members all stayed apart from others has no block, but its loose members may link among themselves
-    lone = loose.select(F.col("a").alias("c")).distinct()
-    lone = lone.unionAll(loose.select(F.col("b").alias("c")))
-    own = grouped.select(F.col("rep").alias("c"), "n", "leader")
-    lone = lone.join(own, "c").join(comp.select(F.col("id").alias("c"), "comp"), "c", "left").select((-F.col("leader") - 1).alias("w"), F.lit(0).alias("pos"), "n", "c", F.coalesce("comp", "c").alias("comp"))
-    entries = scratch.save(entries.unionAll(lone), "entries")
-    mixed_blocks = entries.groupBy("w").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("w")
-    closest = one.where(linked).groupBy(F.col("b").alias("c")).agg(F.min("d").alias("d"))
-    star = one.where(linked).select(F.col("a").alias("star"), F.col("b").alias("c"), "d").join(closest, ["c", "d"]).groupBy("c").agg(F.min("star").alias("star"), F.min("d").alias("d"))
-    mixed = entries.join(mixed_blocks, "w").join(star, "c", "left").join(spread, "c", "left")
-    mixed = scratch.save(mixed.select("w", "pos", "n", "c", "comp", F.coalesce("star", "c").alias("star"), (F.coalesce("d", F.lit(0.0)) + F.coalesce("spread", F.lit(0.0))).alias("r"), F.coalesce("spread", F.lit(0.0)).alias("spread")), "mixed")
-    more = []
-    if not mixed.isEmpty():
-        ends = mixed.groupBy("w", "star", "comp").agg(F.max("r").alias("r"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("pos"))
-        left, right = (ends.select("w", *[F.col(x).alias(x + s) for x in ("star", "comp", "r", "lo", "hi", "pos")]) for s in "12")
-        close = f"comp1 < comp2 AND hi1 * {den} >= lo2 * {num} AND hi2 * {den} >= lo1 * {num} AND {_reach('hi1', 'pos1', 'hi2', 'pos2', 'lo1', 'lo2', num, den)}"
-        met = left.join(right, "w").where(close).groupBy("star1", "star2").agg(F.max(F.col("r1") + F.col("r2")).alias("r"))
-        met = scratch.save(met.select(F.least("star1", "star2").alias("a"), F.greatest("star1", "star2").alias("b"), "r").groupBy("a", "b").agg(F.max("r").alias("r")), "met")
-        two = verify(met.select("a", "b"), "second")
-        more.append(two.where(linked).select("a", "b"))
-        # a pair of representatives that the screen dropped has no distance; where members stand behind it, it is expanded
-        known = two.withColumn("d", F.lit(1.0) - gap).withColumn("link", F.expr(linked)).select("a", "b", "d", "link")
-        reach = met.where("r > 0").join(known, ["a", "b"], "left").where(f"NOT coalesce(link, false) AND coalesce(d, 0D) <= {1 - num / den} + r + 1e-9").select("a", "b")
-        reach = scratch.save(reach.unionAll(reach.select(F.col("b").alias("a"), F.col("a").alias("b"))), "reach")
-        if not reach.isEmpty():
-            m1, m2 = (mixed.select("w", *[F.col(x).alias(x + s) for x in ("pos", "n", "c", "comp", "star")]) for s in "12")
-            wide = m1.join(reach.withColumnsRenamed({"a": "star1", "b": "star2"}), "star1").join(m2, ["w", "star2"])
-            wide = wide.where(f"comp1 <> comp2 AND {near_size('n1', 'n2')} AND {_reach('n1', 'pos1', 'n2', 'pos2', 'n1', 'n2', num, den)}").select("c1", "c2").distinct()
-            members = joined.select(F.col("a").alias("c"), F.col("b").alias("x")).unionAll(joined.select(F.col("a").alias("c"), F.col("a").alias("x")).distinct())
-            for k in "12":
-                side = members.select(F.col("c").alias("c" + k), F.col("x").alias("x" + k))
-                wide = wide.join(side, "c" + k, "left").withColumn("x" + k, F.coalesce("x" + k, "c" + k))
-            pairs = wide.select(F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b")).where("a <> b").distinct()
-            more.append(verify(pairs, "third").where(linked).select("a", "b"))
-        comp = components(links.unionAll(more[0] if len(more) == 1 else more[0].unionAll(more[1])), scratch)
-    of_set = reps.join(comp, reps["rep"] == comp["id"], "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"))
+        every, comp, of_set = _counted(real, reps, bitmaps, verify, num, den, scratch)
+    else:
+        every, comp = _linked(real, reps, bitmaps, verify, num, den, scratch)
+        of_set = reps
+    of_set = of_set.join(comp, of_set["rep"] == comp["id"], "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"), *(["n_links"] if links else []))
     out = profiles.select("doc_id", "n", "s1", "s2").join(of_set, ["n", "s1", "s2"], "left")
-    return scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id")), "result")
+    known = F.col("doc_id").isNotNull()
+    n_links = F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links") if links else None
+    out = scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("comp", "doc_id")).alias("component_id"), *([n_links] if links else [])), "result")
+    scratch.drop(profiles, reps, comp, *every)
+    return out
+
+
+def _linked(real: DataFrame, reps: DataFrame, bitmaps: DataFrame, verify, num: int, den: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """Components (id, comp) of the distinct sets that link with others; and the tables that they rest on."""
+    # Blocks: the groups that share a prefix shingle. Copies of a group have the same rows, which the sums and distinct rows absorb.
+    tokens = real.select("g", "n", F.posexplode("prefix").alias("pos", "w"))
+    blocks = scratch.save(tokens.groupBy("w").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("w"), "blocks")
+    shared = scratch.save(tokens.join(blocks, "w").select("w", "pos", "n", "g").distinct(), "shared")
+    scratch.drop(blocks)
+    leaders = scratch.save(reps.groupBy("g").agg(F.min("rep").alias("leader")), "leaders")
+    inside = scratch.save(reps.join(leaders, "g").where("rep <> leader").select("g", F.col("leader").alias("a"), F.col("rep").alias("b")), "members")
+
+    # Each block's centre is the group the largest part of whose prefix others share: what near copies were copied from, rather than one of them.
+    central = shared.groupBy("g").agg((F.count(F.lit(1)) / F.max(F.expr(f"n - ceil({num} * n / {den}) + 1"))).alias("part"))
+    centres = shared.join(central, "g").groupBy("w").agg(F.max_by("g", "part").alias("centre"))
+    ends = shared.join(centres, "w").where("g <> centre").select(F.col("centre").alias("g1"), F.col("g").alias("g2")).distinct()
+    one, two = (leaders.select(F.col("g").alias("g" + k), F.col("leader").alias(x)) for k, x in zip("12", "ab"))
+    stars = ends.join(one, "g1").join(two, "g2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionAll(inside.select("a", "b"))
+    near = scratch.save(_filter_pairs(stars, bitmaps), "stars")
+    found = scratch.save(verify(near, "first").select("a", "b", "d"), "first-links")
+    scratch.drop(near)
+    comp = components(found, scratch)
+
+    # What stands in a block: each group's leader, and members that do not link with it, each with its component.
+    # A leader stands for the members that do, up to its spread away.
+    joined = inside.join(found, ["a", "b"])
+    spread = joined.groupBy(F.col("a").alias("c")).agg(F.max("d").alias("spread"))
+    loose = inside.join(found, ["a", "b"], "left_anti").select("g", F.col("b").alias("c"))
+    present = leaders.select("g", F.col("leader").alias("c")).unionAll(loose).join(comp.select(F.col("id").alias("c"), "comp"), "c", "left").select("g", "c", F.coalesce("comp", "c").alias("comp"))
+    present = scratch.save(present, "present")
+    entries = shared.select("w", "pos", "n", "g").join(present, "g").select("w", "pos", "n", "c", "comp")
+    # A group without a block of its own may still have loose members that link among themselves.
+    size = reps.select(F.col("rep").alias("c"), "n")
+    own = present.join(loose.select("g").distinct(), "g").join(size, "c").select(F.col("g").alias("w"), F.lit(0).alias("pos"), "n", "c", "comp")
+    entries = scratch.save(entries.unionAll(own), "entries")
+    scratch.drop(shared)
+    mixed = scratch.save(entries.groupBy("w").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("w"), "mixed")
+    held = scratch.save(entries.join(mixed, "w"), "held")
+    scratch.drop(entries, mixed)
+    left, right = (held.select("w", *[F.col(x).alias(x + k) for x in ("pos", "n", "c", "comp")]) for k in "12")
+    close = f"comp1 < comp2 AND n1 * {den} >= n2 * {num} AND n2 * {den} >= n1 * {num} AND {_reach(num, den)}"
+    across = scratch.save(left.join(right, "w").where(close).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), "across")
+    scratch.drop(held)
+    near = scratch.save(_filter_pairs(across, bitmaps), "across-near")
+    more = scratch.save(verify(near, "second").select("a", "b", "d"), "second-links")
+    used = [leaders, inside, found, present, across, near, more]
+    if not joined.isEmpty():
+        wide = near
+        for x in "ab":
+            wide = wide.join(spread.select(F.col("c").alias(x), F.col("spread").alias("r" + x)), x, "left")
+        far = f"1 - most / (na + nb - most) <= {1 - num / den} + coalesce(ra, 0D) + coalesce(rb, 0D) + 1e-9"
+        wide = wide.where(f"(ra IS NOT NULL OR rb IS NOT NULL) AND {far}").select("a", "b")
+        members = joined.select("a", "b").unionAll(joined.select("a", F.col("a").alias("b")).distinct())
+        for x in "ab":
+            wide = wide.join(members.select(F.col("a").alias(x), F.col("b").alias("m" + x)), x, "left")
+        pairs = wide.where("ma IS NOT NULL OR mb IS NOT NULL").select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        expanded = scratch.save(_filter_pairs(pairs.join(across, ["a", "b"], "left_anti"), bitmaps), "expanded")
+        third = scratch.save(verify(expanded, "third").select("a", "b", "d"), "third-links")
+        used += [expanded, third]
+        more = more.unionAll(third)
+    return used, _merged(comp, more, scratch)
+
+
+def _merged(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components (id, comp) after more links: the components themselves are linked and merged."""
+    of = links.select("a", "b")
+    for x in "ab":
+        of = of.join(comp.select(F.col("id").alias(x), F.col("comp").alias("comp_" + x)), x, "left")
+    own = scratch.save(of.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).distinct(), "merging")
+    if own.isEmpty():
+        return comp
+    merged = components(own, scratch)
+    step = merged.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    out = comp.join(step, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    out = scratch.save(out.unionAll(merged.join(comp.select("id"), "id", "left_anti").select("id", "comp")), "components")
+    scratch.drop(comp, own, merged)
+    return out
 
 
-def _counted(profiles: DataFrame, real: DataFrame, reps: DataFrame, verify, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """The join with numbers of links: every two distinct sets that link, weighted by their copies."""
+def _counted(real: DataFrame, reps: DataFrame, bitmaps: DataFrame, verify, num: int, den: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Tables in use, components, and the distinct sets with their numbers of links: every two that link, weighted by their copies."""
     tokens = reps.select(F.col("rep").alias("doc_id")).join(real.select("doc_id", "n", F.posexplode("prefix").alias("pos", "w")), "doc_id")
-    tokens = scratch.save(tokens, "tokens")
-    one, two = (tokens.select("w", *[F.col(x).alias(x + k) for x in ("doc_id", "n", "pos")]) for k in "12")
-    near = f"doc_id1 < doc_id2 AND n1 * {den} >= n2 * {num} AND n2 * {den} >= n1 * {num} AND {_reach('n1', 'pos1', 'n2', 'pos2', 'n1', 'n2', num, den)}"
-    pairs = scratch.save(one.join(two, "w").where(near).select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b")).distinct(), "pairs")
-    found = scratch.save(verify(pairs, "every").where(f"both * {den} >= (na + nb - both) * {num}").select("a", "b"), "every-link")
+    tokens = scratch.save(tokens.withColumnRenamed("doc_id", "c"), "tokens")
+    one, two = (tokens.select("w", *[F.col(x).alias(x + k) for x in ("c", "n", "pos")]) for k in "12")
+    near = f"c1 < c2 AND n1 * {den} >= n2 * {num} AND n2 * {den} >= n1 * {num} AND {_reach(num, den)}"
+    pairs = scratch.save(one.join(two, "w").where(near).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct(), "pairs")
+    screened = scratch.save(_filter_pairs(pairs, bitmaps), "pairs-near")
+    scratch.drop(tokens, pairs)
+    found = scratch.save(verify(screened, "every").select("a", "b"), "every-link")
     comp = components(found, scratch)
     copies = reps.select(F.col("rep").alias("b"), "copies")
     both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    count = both.join(copies, "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
-    n_links = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
-    of_set = reps.join(comp.join(count, "id"), reps["rep"] == comp["id"], "left").select("n", "s1", "s2", F.coalesce("comp", "rep").alias("comp"), n_links.alias("n_links"))
-    out = profiles.select("doc_id", "n", "s1", "s2").join(of_set, ["n", "s1", "s2"], "left")
-    known = F.col("doc_id").isNotNull()
-    return scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("comp", "doc_id")).alias("component_id"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")), "result")
+    count = both.join(copies, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+    of_set = reps.join(count, "rep", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1)
+    return [screened, found], comp, of_set
 
 
-def _reach(n1: str, p1: str, n2: str, p2: str, m1: str, m2: str, num: int, den: int) -> str:
-    """Whether sets of at most n1 and n2, that share no prefix shingle before places p1 and p2, may overlap enough for sizes of at least m1 and m2.
+def _reach(num: int, den: int) -> str:
+    """Whether sets of n1 and n2 shingles that share no prefix shingle before places pos1 and pos2 may overlap enough.
 
     A pair may share several prefix shingles; the first of them passes, so no pair is lost.
     """
-    return f"(1 + least({n1} - {p1} - 1, {n2} - {p2} - 1)) * {num + den} >= {num} * ({m1} + {m2})"
+    return f"(1 + least(n1 - pos1 - 1, n2 - pos2 - 1)) * {num + den} >= {num} * (n1 + n2)"
