@@ -6,7 +6,8 @@ last token, and a token can be written as soon as all positions at which a longe
 begin agree on it: lookahead is bounded by the longest token. The transducer's states hold these
 positions; they and their moves are made when first needed and kept in a table of bounded size.
 
-A null or empty text has no tokens. Texts are encoded whole.
+A null or empty text has no tokens. Texts are encoded whole. Rows that repeat and null ids are each
+returned; an empty table gives an empty table; columns other than the text and the kept ones are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ MOST_STATES = 150_000
 MOST_PAIRS = 400_000
 MOST_PIECES = 100_000
 MOST_WORDS = 500_000
+# Fixed value: the public tokenizers' pattern, by which a piece begins at every single space between other characters.
+CUT_AT_LONE_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+UNKNOWN = "\ufffd".encode()
 _BYTES = [bytes((b,)) for b in range(256)]
 _SPACES = re.compile(r"\A | \Z| \s|\s ")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -217,6 +221,7 @@ class Codec:
         self.v = vocabulary
         self.machine = Transducer(vocabulary)
         self.pieces = regex.compile(pattern)
+        self.cuts_at_spaces = pattern == CUT_AT_LONE_SPACES
         self.by_piece: dict[str, list[int]] = {}
         self.by_word: dict[str, tuple[int, ...]] = {}
 
@@ -256,10 +261,13 @@ class Codec:
         return ids
 
     def encode(self, text: str | None) -> list[int]:
-        """Ids of a whole text. A piece never goes on over a space that has no other white space beside it,
-        but always begins there, so the stretches between such spaces are cut into pieces one by one."""
+        """Ids of a whole text. By the pattern CUT_AT_LONE_SPACES, a piece never goes on over a space that has no
+        other white space beside it, but always begins there, so the stretches between such spaces are cut into
+        pieces one by one. By other patterns, texts are cut as a whole."""
         if not text:
             return []
+        if not self.cuts_at_spaces:
+            return self._cut(text)
         words = _LONE_SPACE.split(text) if _SPACES.search(text) else text.split(" ")
         known, word = self.by_word, self._word
         return [*self._cut(words[0]), *chain.from_iterable([known.get(w) or word(w) for w in words[1:]])]
@@ -267,7 +275,7 @@ class Codec:
     def decode_stream(self, ids: Iterable[int], cut: int = 8192) -> Iterator[str]:
         stream, ids = Utf8Stream(), list(ids)
         for k in range(0, len(ids), cut):
-            yield stream.feed(b"".join(map(self.v.tokens.__getitem__, ids[k : k + cut])))
+            yield stream.feed(b"".join([self.v.tokens.get(i, b"" if i is None else UNKNOWN) for i in ids[k : k + cut]]))
         yield stream.finish()
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -281,30 +289,31 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, ``ids`` (array of int) and ``n_tokens`` of every row."""
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>, n_tokens long"])
+    """The ``keep`` columns (but for those named ``ids`` or ``n_tokens``), ``ids`` (array of int) and ``n_tokens`` of every row."""
 
     def make():
         own = codec(path, pattern)
 
         def work(cols):
             ids = [own.encode(t) for t in cols[0]]
-            return [*cols[1:], ids, list(map(len, ids))]
+            return [ids, list(map(len, ids))]
 
         return work
 
-    return map_rows(docs, [text, *keep], schema, make)
+    return map_rows(docs, [text], "ids array<int>, n_tokens long", make, keep=keep)
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and ``text``, decoded from the ids (null: empty) of every row."""
-    schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep), "text string"])
+    """The ``keep`` columns (but for one named ``text``) and ``text``, decoded from the ids of every row.
+
+    A null array or an empty one gives the empty text; a null id nothing; an id that the vocabulary lacks U+FFFD.
+    """
 
     def make():
         own = codec(path, pattern)
-        return lambda cols: [*cols[1:], [own.decode(x or []) for x in cols[0]]]
+        return lambda cols: [[own.decode(x or []) for x in cols[0]]]
 
-    return map_rows(encoded, [ids, *keep], schema, make)
+    return map_rows(encoded, [ids], "text string", make, keep=keep)
 
 
 def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_ROOTS: dict[str, str] = {}
 
@@ -59,30 +60,45 @@ class Scratch:
         self.held = [(t, path) for t, path in self.held if not any(t is x for x in tables)]
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def map_rows(
     df: DataFrame,
     columns: Sequence[str],
     schema: str,
     make: Callable[[], Callable[[list[list]], list[list]]],
     chunk_rows: int = 512,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Apply a Python function to the named columns of every row, in Arrow batches.
+    """The ``keep`` columns as they are, beside what a Python function makes of the named columns of every row.
 
     ``make()`` runs once in each task and returns a function from lists of column values to lists of
     output column values in the order of ``schema``. Batches are cut to ``chunk_rows`` rows, so that
-    Python holds few texts at a time.
+    Python holds few texts at a time. A column of ``keep`` that has the name of one in ``schema`` is
+    left out: the new one takes its place.
     """
-    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    made = _parse_datatype_string(schema)
+    own = {c.lower() for c in made.names}
+    keep = [c for c in keep if c.lower() not in own]
+    width, arrow = len(columns), to_arrow_schema(made)
+    kept = df.select(*map(quoted, keep)).schema
+    names = [*(f"_k{k}" for k in range(len(keep))), *made.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for at in range(0, batch.num_rows, chunk_rows):
                 part = batch.slice(at, chunk_rows)
-                out = work([c.to_pylist() for c in part.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow)], schema=arrow)
+                out = work([c.to_pylist() for c in part.columns[:width]])
+                yield pa.RecordBatch.from_arrays([*part.columns[width:], *(pa.array(v, f.type) for v, f in zip(out, arrow))], names)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    source = df.select(*[quoted(c).alias(f"_c{k}") for k, c in enumerate(columns)], *[quoted(c).alias(f"_k{k}") for k, c in enumerate(keep)])
+    fields = [type(f)(name, f.dataType) for name, f in zip(names, [*kept.fields, *made.fields])]
+    done = source.mapInArrow(run, StructType(fields))
+    return done.select(*[F.col(f"_k{k}").alias(c) for k, c in enumerate(keep)], *made.names)

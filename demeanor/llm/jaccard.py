@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_rows
+from .common import Scratch, map_rows, quoted
 from .components import components
 
 SKETCH_BITS = 22  # 4 MB where it is broadcast; a shingle stands out once it is more frequent than the rest of its bucket
@@ -323,7 +323,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, links
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The row of smallest id of each component, and all rows without id.
 
-    Where an id stands in several rows, each of them with another set counts by itself; of rows with one id
+    Columns, whatever their names and types, stay as they are. Where an id stands in several rows, each of them with another set counts by itself; of rows with one id
     in one component, or with one id and the empty set, the one with the smallest hash stays.
     """
     scratch = Scratch(docs.sparkSession)
@@ -331,15 +331,18 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> Dat
     if not _repeated(docs):
         found = _join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, num, den, scratch).where("doc_id = component_id")
         kept = docs.join(found.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-        return kept.select(*docs.columns).unionByName(nameless)
-    rows = _numbered(docs.where("doc_id IS NOT NULL"), scratch)
+        return kept.select(*map(quoted, docs.columns)).union(nameless)
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    plain = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.struct(*[quoted(c).alias(x) for c, x in zip(docs.columns, names)]).alias("all"))
+    rows = _numbered(plain, scratch)
     found = _join(_by_row(rows), n, num, den, scratch).withColumnRenamed("doc_id", "__row")
-    order = F.struct("doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]).alias("hash"), "__row")
+    hashed = [f"all.{x}" for x, f in zip(names, docs.schema) if f.name != "doc_id" and not re.search("map<|variant", f.dataType.simpleString())]
+    order = F.struct("doc_id", F.xxhash64(*hashed).alias("hash"), "__row")
     ranked = found.join(rows.select("__row", "doc_id", order.alias("order")), "__row")
     empty = F.col("n_shingles") == 0
     first = ranked.groupBy(empty.alias("empty"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("key")).agg(F.min("order").alias("order"))
     kept = rows.join(first.select(F.col("order.__row").alias("__row")), "__row", "left_semi")
-    return kept.select(*docs.columns).unionByName(nameless)
+    return kept.select(*[F.col(f"all.{x}").alias(c) for c, x in zip(docs.columns, names)]).union(nameless)
 
 
 def _repeated(docs: DataFrame) -> bool:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_SOURCES = 10_000
+BROADCAST_SOURCES, BROADCAST_VALUES = 10_000, 1_000_000
 NO_SOURCE = "\x00null"
 
 
@@ -58,17 +58,22 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temper
     """Documents repeated to the target mix; all columns stay.
 
     With ``extra``, adds ``mix_rate``, ``mix_copy`` (0, 1, ...), and ``mix_order`` (the hash that orders
-    the copies globally); they replace columns of those names. With ``shuffle``, copies are range-partitioned and sorted by ``mix_order``.
+    the copies globally); they replace columns of those names. With ``shuffle``, partitions are ranges of
+    ``mix_order``, sorted by it.
     """
     rates = source_rates(docs, weights, temperature, source)
     rates = rates.select("_source", "_rate", poisson_table(F.col("_rate")).alias("_cdf"))
-    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    size = rates.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("_cdf")), F.lit(0)).alias("values")).first()
+    few = size["n"] <= BROADCAST_SOURCES and size["values"] <= BROADCAST_VALUES
     packed = docs.select(F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(NO_SOURCE)).alias("_source"), F.col(f"`{key}`").cast("string").alias("_key"), F.struct("*").alias("_row"))
     joined = packed.join(F.broadcast(rates) if few else rates, "_source").withColumn("_u", uniform(seed, F.col("_key")))
     counted = joined.withColumn("_count", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
     copies = counted.where("_count > 0").select("_row", "_key", F.col("_rate").alias("mix_rate"), F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("mix_copy"))
     out = copies.withColumn("mix_order", F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.coalesce("_key", F.lit("")), F.col("mix_copy").cast("string")).cast("binary")))
     if shuffle:
-        out = out.repartitionByRange(F.col("mix_order")).sortWithinPartitions("mix_order")
+        # The hash is uniform, so equal ranges of it need no sampling pass.
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        number = F.conv(F.substring("mix_order", 1, 8), 16, 10).cast("long") * F.lit(parts)
+        out = out.repartitionById(parts, F.shiftright(number, 32).cast("int")).sortWithinPartitions("mix_order")
     own = ["mix_rate", "mix_copy", "mix_order"] if extra else []
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in own], *own)

@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
 
-Spans count code points, end exclusive. Within a kind they are leftmost and do not overlap. A null or
-empty text has none. Every pattern is scanned in time linear in the text, however long a run of its
+Spans count code points, end exclusive. Those of one kind are leftmost and do not overlap. A null or
+empty text has none. Rows that repeat and null ids are each returned; an empty table gives an empty table;
+columns other than the text and the kept ones are not read. Every pattern is scanned in time linear in the text, however long a run of its
 characters is.
 """
 
@@ -145,13 +146,12 @@ SCHEMA = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
 def find_pii(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and ``spans``, an array of (kind, start, end, score), of every row."""
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"spans {SCHEMA}"])
+    """The ``keep`` columns (but for one named ``spans``) and ``spans``, an array of (kind, start, end, score), of every row."""
 
     def make():
-        return lambda cols: [*cols[1:], [[vars(s) for s in find(t)] for t in cols[0]]]
+        return lambda cols: [[[vars(s) for s in find(t)] for t in cols[0]]]
 
-    return map_rows(docs, [text, *keep], schema, make)
+    return map_rows(docs, [text], f"spans {SCHEMA}", make, keep=keep)
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

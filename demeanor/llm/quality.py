@@ -47,6 +47,7 @@ RULES = (
     Rule("duplicate_lines", "n_dup_lines / n_lines", ">", 0.6, 10),
     Rule("shouted_words", "n_shouts / n_words", ">", 0.5, 10),
 )
+RESERVED = frozenset(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_shouts", "_row", "base_failed", "rejected_by", "kept"))
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 
 
@@ -89,10 +90,11 @@ def _measures(text: Column) -> list[dict[str, Column]]:
 
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), row: bool = False) -> DataFrame:
-    """The ``keep`` columns beside all measures of each text; one row for each row of ``docs``.
+    """The ``keep`` columns, but for those of the names RESERVED, beside all measures of each text; one row for each row of ``docs``.
 
     With ``row``, also a row number, ``_row``; a filter that uses it stays above the measures.
     """
+    keep = tuple(c for c in keep if c.lower() not in RESERVED)
     inner = {f"_keep{k}": F.col(f"`{x}`") for k, x in enumerate(keep)}
     df = docs.select(F.col(f"`{text}`").alias("_text"), *[v.alias(k) for k, v in inner.items()])
     for layer in _measures(F.col("_text")):

@@ -6,8 +6,10 @@ queries name), postings are intersected and united as the query says, and only c
 verified with the expression. A rule without mandatory trigrams scans every text. The index is
 built over whole texts, in lower case, segment by segment, so it never outgrows a batch.
 
-Spans count code points, end exclusive; within a kind they are leftmost and do not overlap. A null
-or empty text has none.
+Spans count code points, end exclusive; those of one kind are leftmost and do not overlap. A null
+or empty text has none, and stays as it is. Rows that repeat, null ids and ties of kinds at one place
+are each returned (spans by start, then kind); an empty table gives an empty table; long texts are
+scanned whole; columns other than the text and the kept ones are not read.
 """
 
 from __future__ import annotations
@@ -230,19 +232,21 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 
 def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """The ``keep`` columns, ``spans`` (array of kind, start, end) and ``redacted`` of every row."""
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "spans array<struct<kind:string,start:int,end:int>>, redacted string"])
+    """The ``keep`` columns, ``spans`` (array of kind, start, end) and ``redacted`` of every row.
+
+    Columns of ``keep`` named ``spans`` or ``redacted`` are left out.
+    """
 
     def make():
         scanner = SecretScanner(rules)
 
         def work(cols):
             found = scanner.scan(cols[0])
-            return [*cols[1:], [[dict(zip(("kind", "start", "end"), s)) for s in x] for x in found], [redact(t, x) for t, x in zip(cols[0], found)]]
+            return [[[dict(zip(("kind", "start", "end"), s)) for s in x] for x in found], [redact(t, x) for t, x in zip(cols[0], found)]]
 
         return work
 
-    return map_rows(docs, [text, *keep], schema, make)
+    return map_rows(docs, [text], "spans array<struct<kind:string,start:int,end:int>>, redacted string", make, keep=keep)
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:

@@ -140,6 +140,41 @@ def test_language_on_dataframes(spark):
     assert langid.identify(df.limit(0), langid.learn(df.limit(0), path), path).count() == 0
 
 
+def test_clashing_names(spark):
+    """Extra columns with the names of what operators make or use inside; dots and maps too."""
+    row = {"doc_id": 1, "text": 'a b c password = "hunter22" me@x.org', "lang": "en", "source": "s", "n_chars": 3, "spans": "S", "redacted": "R", "__row": 7, "__nth": 8, "_row": 9, "ids": "I", "n_tokens": "N", "a.b": 5, "host": "H", "kept": "K", "n_words": "W", "mix_order": "M", "_source": "Z", "m": {"k": 1}, "rep": 4, "comp": 5, "c": 6}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans string, redacted string, __row long, __nth long, _row long, ids string, n_tokens string, `a.b` long, host string, kept string, n_words string, mix_order string, _source string, m map<string,int>, rep long, comp long, c long"
+    rows = [{**row, "doc_id": i, "text": t} for i, t in ((1, row["text"]), (1, row["text"]), (1, "other words of it"), (2, None))]
+    df = spark.createDataFrame([tuple(r[c] for c in row) for r in rows], schema)
+    step = near_duplicates(spark, df, "")
+    assert step.columns == df.columns and sorted((r.doc_id, r.text or "", r["a.b"], r["__row"], r.m["k"]) for r in step.collect()) == sorted((i, t, 5, 7, 1) for i, t in ((1, row["text"]), (1, "other words of it"), (2, "")))
+    clean = corpus_pipeline.secret_scans(spark, df, "")
+    got = [r for r in clean.collect() if r.doc_id == 1 and "me@" in r.text]
+    assert clean.columns == df.columns and (got[0].spans, got[0].redacted, got[0].n_chars) == ("S", "R", len(got[0].text)) and "hunter22" not in got[0].text
+    mixed = corpus_pipeline.mixing_sources(spark, df, "")
+    assert mixed.columns == df.columns and {r.mix_order for r in mixed.collect()} <= {"M"}
+    assert corpus_pipeline.byte_bpe(spark, df, "").count() == 4 and quality.kept_rows(df).columns == df.columns
+    names = tuple(df.columns)
+    assert secrets.find_secrets(df, keep=names).columns.count("spans") == pii.find_pii(df, keep=names).columns.count("spans") == 1
+    assert secrets.find_secrets(df, keep=names).count() == pii.find_pii(df, keep=names).count() == 4
+    assert bpe.encode_texts(df, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, keep=names).select("ids", "n_tokens").count() == 4
+    assert quality.quality_rules(df, keep=names).columns.count("kept") == 1 and quality.quality_rules(df, keep=names).count() == 4
+    assert urls.filter_urls(df, urls.rules_table(spark, [("block", "com/")]), "text", names).columns.count("host") == 1
+
+
+def test_ids_that_cannot_be_decoded(spark):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe.codec(path, P.PATTERN)
+    a = own.encode("hello")
+    df = spark.createDataFrame([(1, [*a, None, *a]), (2, [99_999_999, *a]), (3, None), (4, []), (5, [None])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode_ids(df, path, P.PATTERN).collect()} == {1: "hellohello", 2: "\ufffdhello", 3: "", 4: "", 5: ""}
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    other = r"\p{L}+ \p{L}+|\s|."  # a pattern whose pieces go on over single spaces
+    enc = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=ranks, special_tokens={})
+    assert bpe.codec(path, other).encode("two words here. x") == enc.encode_ordinary("two words here. x")
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard.jaccard_join(none).count() == 0 and quality.quality_rules(none).count() == 0
