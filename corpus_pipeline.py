@@ -1,4 +1,9 @@
-"""A training-data pipeline over ``documents``: each stage works on all that the one before kept."""
+"""A training-data pipeline over ``documents``: each stage works on all that the one before kept.
+
+Every stage takes null and empty texts (quality rules reject them), rows that repeat, null ids and empty tables
+(an empty result); columns beside those of ``documents``, whatever their names, stay up to the last stage.
+Long texts are read whole.
+"""
 
 from __future__ import annotations
 
@@ -25,10 +30,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by the names of their kinds; n_chars follows the text."""
-    found = secrets.find_secrets(docs, keep=tuple(c for c in docs.columns if c != "text"))
-    text = found.withColumnRenamed("redacted", "text")
-    changed = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return text.select(*[changed.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    place = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    found = secrets.find_secrets(docs.toDF(*place.values()), place["text"], tuple(x for c, x in place.items() if c != "text"))
+    own = {"text": F.col("redacted")}
+    if "n_chars" in place:
+        own["n_chars"] = F.when(F.size("spans") > 0, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(place["n_chars"]))
+    return found.select(*[own.get(c, F.col(x)).alias(c) for c, x in place.items()])
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
