@@ -1,12 +1,15 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are words and the heads of words, hashed; those that speak most for or against the label among
-the training rows are kept, and the machine gives each a weight and a vector, whose products weigh
-pairs of terms. It is trained on at most about ``max_rows`` labelled documents, drawn by a hash of
+Terms are words and the heads of words, hashed; the ``terms`` that speak most for or against the label among
+the training rows (2,000 unless given; they bound the machine's size, not the rows or texts that it reads)
+are kept, and the machine gives each a weight and a vector, whose products weigh pairs of terms. It is trained on at most about ``max_rows`` labelled documents, drawn by a hash of
 doc_id, by Adam on the driver over the kept terms alone.
 
 Texts are read whole. A null or empty text has no terms and scores by the bias alone. If no label, or
-only one of them, can be learned from, every score is the share of that label.
+only one of them, can be learned from, every score is the share of that label. Of several labels of one
+document the largest counts; ties of terms go by their hash. Rows that repeat and null ids are each scored
+(null ids are not learned from); an empty table gives an empty table; columns other than doc_id, text and
+toxic are not read.
 """
 
 from __future__ import annotations
@@ -145,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, terms: i
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     share = min(1.0, max_rows / max(n, 1))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 53)) < int(share * (1 << 53)) + 1)
     few = drawn.join(docs.select("doc_id", "text"), "doc_id")
 
     def make():
