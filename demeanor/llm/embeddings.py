@@ -2,9 +2,9 @@
 
 Unit vectors with cosine c lie at squared distance 2 - 2c. Vectors are turned by a fixed random
 rotation and split into blocks of few dimensions, each with a share of the squared distance in
-proportion to its dimensions: two vectors that link are within budget in at least one block. Each
+proportion to its dimensions: two vectors that link keep the budget of at least one block. Each
 block is a range join: cells of its first coordinate, as wide as the budget and the slack by which pairs
-are given to blocks, meet their neighbours, in tiles of bounded size, and pairs within the block's budget
+are given to blocks, meet their neighbours, in tiles of bounded size, and pairs that keep the block's budget
 become candidates. Candidates are
 verified exactly, in double precision, on the whole vectors; a pair counts in the first block that
 proposes it.
@@ -30,6 +30,7 @@ from .components import components
 
 BLOCK_DIMENSIONS = 16
 TILE = 1 << 15
+PAIRS_AT_ONCE = 1 << 21
 SEED = 3
 SLACK = 1e-5  # single precision finds candidates, generously; double precision decides
 
@@ -100,26 +101,35 @@ def _cells(d: int, kind: str, distance: float):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of links."""
-    parent: dict[int, int] = {}
+class Forest:
+    """A spanning forest of links between places 0 to n - 1; links inside one tree leave no trace."""
 
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist()):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.label[a] != self.label[b]
+        if not apart.any():
+            return
+        parent = self.label
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for x, y in set(zip(a[apart].tolist(), b[apart].tolist())):
+            p, q = root(x), root(y)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                self.links.append((x, y))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
 
 
 def _compare(d: int, kind: str, least: float, distance: float):
-    """Links of one pair of tiles (or of a tile within itself)."""
+    """Links of one pair of tiles (or of a tile with itself)."""
     rotation, plan = _rotation(d), _plan(d, distance)
 
     def run(key, pdf):
@@ -136,33 +146,35 @@ def _compare(d: int, kind: str, least: float, distance: float):
         part, budget = plan[block]
         x, y = rotated[0][:, part], rotated[1][:, part]
         y2 = (y * y).sum(axis=1)
-        found_a, found_b = [], []
-        for at in range(0, len(x), 256):
-            some = x[at : at + 256]
+        # Pairs are found, verified and folded some rows at a time: what is held does not grow with the number of pairs.
+        base = 0 if same else len(left)
+        forest = Forest(base + len(right))
+        copies = [s["copies"].to_numpy() for s in (left, right)]
+        n_left, n_right = np.zeros(len(left)), np.zeros(len(right))
+        rows_at_once = max(1, PAIRS_AT_ONCE // len(y))
+        for at in range(0, len(x), rows_at_once):
+            some = x[at : at + rows_at_once]
             apart = (some * some).sum(axis=1)[:, None] + y2 - 2 * (some @ y.T)
             i, j = np.nonzero(apart <= budget + SLACK)
             i += at
             if same:
                 i, j = i[i < j], j[i < j]
-            found_a.append(i)
-            found_b.append(j)
-        i, j = np.concatenate(found_a), np.concatenate(found_b)
-        keep = []
-        for at in range(0, len(i), 65536):
-            p, q = i[at : at + 65536], j[at : at + 65536]
-            # the first block within budget, in the same arithmetic everywhere, owns the pair
-            first = np.ones(len(p), bool)
-            for k in range(block):
-                e, most = plan[k]
-                first &= ~(((rotated[0][p, e] - rotated[1][q, e]) ** 2).sum(axis=1) <= most + SLACK / 2)
-            mine = ((rotated[0][p, part] - rotated[1][q, part]) ** 2).sum(axis=1) <= budget + SLACK / 2
-            keep.append(first & mine & ((u[0][p] * u[1][q]).sum(axis=1) >= least))
-        ok = np.concatenate(keep) if keep else np.zeros(0, bool)
-        i, j = i[ok], j[ok]
-        ids, copies = [s["id"].to_numpy() for s in (left, right)], [s["copies"].to_numpy() for s in (left, right)]
-        n_left, n_right = np.bincount(i, copies[1][j], len(left)), np.bincount(j, copies[0][i], len(right))
-        forest = _forest(ids[0][i], ids[1][j])
-        rows = [np.array(forest, np.int64).reshape(-1, 2)]
+            for k in range(0, len(i), 1 << 16):
+                p, q = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                # the first block with the pair in its budget, in the same arithmetic everywhere, owns it
+                ok = ((rotated[0][p, part] - rotated[1][q, part]) ** 2).sum(axis=1) <= budget + SLACK / 2
+                for e, most in plan[:block]:
+                    ok &= ~(((rotated[0][p, e] - rotated[1][q, e]) ** 2).sum(axis=1) <= most + SLACK / 2)
+                p, q = p[ok], q[ok]
+                ok = (u[0][p] * u[1][q]).sum(axis=1) >= least
+                p, q = p[ok], q[ok]
+                n_left += np.bincount(p, copies[1][q], len(left))
+                n_right += np.bincount(q, copies[0][p], len(right))
+                forest.add(p, q + base)
+        ids = [s["id"].to_numpy() for s in (left, right)]
+        where = np.concatenate(ids) if base else ids[0]
+        forest = where[np.array(forest.links, np.int64).reshape(-1, 2)]
+        rows = [forest]
         counts = [np.stack([s[n > 0], n[n > 0].astype(np.int64)], axis=1) for s, n in zip(ids, (n_left, n_right))]
         kinds = [np.zeros(len(rows[0]), np.int64), *(np.ones(len(c), np.int64) for c in counts)]
         whole = np.concatenate([*rows, *counts])

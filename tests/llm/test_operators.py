@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -290,6 +291,29 @@ def test_pairs_at_the_edge_of_a_block_budget_link(spark):
     assert [(got[i].n_links, got[i].component_id) for i in range(len(rows))] == [(near[i].sum() - 1, label[i]) for i in range(len(rows))]
 
 
+@pytest.mark.parametrize("kind, least", [("double", 0.95), ("float", 0.95), ("double", 0.99999)])
+def test_near_vectors_in_several_blocks_and_tiles(spark, monkeypatch, kind, least):
+    """64 dimensions, so several blocks; tiles of 40 and few pairs at once; a dense cluster, pairs about the threshold, an empty table."""
+    monkeypatch.setattr(embeddings, "TILE", 40)
+    monkeypatch.setattr(embeddings, "PAIRS_AT_ONCE", 1000)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 64))
+    wide = np.sqrt(2 - 2 * least)
+    for k in range(1, 300):
+        if k % 3:  # some of them near, some of them just too far from an earlier one
+            step = rng.normal(size=64)
+            x[k] = x[k - k % 3] / np.linalg.norm(x[k - k % 3]) + rng.uniform(0.5, 1.3) * wide * step / np.linalg.norm(step)
+    x[:80] = x[0] / np.linalg.norm(x[0]) + 0.5 * wide * rng.normal(size=(80, 64)) / 8
+    y = x.astype(np.float32 if kind == "float" else np.float64).astype(np.float64)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    near = y @ y.T >= least
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = {r.vec_id: r for r in embeddings.near_vectors(df, least).collect()}
+    label = components(300, lambda i, j: near[i, j])
+    assert near.sum() > 1000 and [(got[i].n_links, got[i].component_id) for i in range(300)] == [(near[i].sum() - 1, label[i]) for i in range(300)]
+    assert embeddings.near_vectors(df.limit(0), least).count() == 0
+
+
 def test_language_forward_sums_all_segmentations():
     path = P.path("piece_bpe_32k.model")
     langs, probs = langid.fit({"a": Counter({"hello": 5, "help": 2}), "b": Counter({"bonjour": 4})}, path)
@@ -305,6 +329,27 @@ def test_language_forward_sums_all_segmentations():
     assert np.allclose(scorer.forward(["hello", "bonj"]), np.log([every("▁hello"), every("▁bonj")]))
     assert scorer.score([None, "12", "hello help", "bonjour"])[:2] == [("und", 0.0)] * 2
     assert [x for x, _ in scorer.score(["hello help", "bonjour"])] == ["a", "b"]
+    assert scorer.score(["\u00b2 \u00bd \u2167 7"]) == [("und", 0.0)] and langid.letters_words("a\u00b2b C") == ["a", "b", "c"]
+
+    def exact(word):
+        """Probabilities of all segmentations, in fractions: nothing underflows."""
+        word, part = "▁" + word, [[Fraction(1), Fraction(1)]]
+        for end in range(1, len(word) + 1):
+            here = [(s, known[word[s:end]]) for s in range(end) if word[s:end] in known]
+            if not any(s == end - 1 for s, _ in here):
+                here.append((end - 1, len(known)))
+            part.append([sum(part[s][k] * Fraction(probs[i, k]) for s, i in here) for k in range(2)])
+        return [math.log(x.numerator) - math.log(x.denominator) for x in part[-1]]
+
+    long = ["hello" * 16, "bonjourhelp" * 7, "日é" * 30, "x" * 23, "y" * 24]
+    assert np.allclose(scorer.forward(long), [exact(w) for w in long])
+    endless = scorer.forward(["hellohelp" * 222, "hellohelp" * 223])
+    assert np.isfinite(endless).all() and np.allclose((endless[1] - endless[0])[0], (scorer.forward(["hellohelp" * 12]) - scorer.forward(["hellohelp" * 11]))[0][0], atol=1e-4)
+    seen, again = np.zeros(len(probs)), np.zeros(len(probs))
+    p = probs[:, 0]
+    langid.Lattice(["▁hellohelp"], langid._trie(known), len(known)).expect(p, np.array([2.0]), seen)
+    langid._log_expect("▁hellohelp", known, max(map(len, known)), np.log(p), 2.0, again)
+    assert np.allclose(seen, again) and seen.sum() > 2
 
 
 def test_factorization_machine_learns_a_pair():
