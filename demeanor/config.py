@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
 
@@ -11,7 +12,7 @@ from .errors import ConfigError
 class OperatorRepr(Enum):
     Implicit = "implicit"  # a pass over the observations for each product
     Explicit = "explicit"  # aggregated cross-tabulations, on the driver
-    Auto = "auto"  # explicit as long as the aggregates stay within their bound
+    Auto = "auto"  # explicit as long as the aggregates do not exceed their bound
 
 
 class Preconditioner(Enum):
@@ -72,19 +73,20 @@ class SchurComplement:
 
     @classmethod
     def solver_default(cls) -> SchurComplement:
-        """What a bare preconditioner choice stands for."""
-        return cls(ApproxCholConfig(split=2), ApproxSchurConfig(split=2), 2000)
+        """What a bare preconditioner choice stands for. The threshold is larger than ``SchurComplement``'s own,
+        as dense factors of up to 2,000 unknowns are faster in numpy than sampled ones in Python."""
+        return cls(ApproxCholConfig(split=2), ApproxSchurConfig(), 2000)
 
 
 @dataclass(frozen=True)
 class AdditiveSchwarz:
-    local_solver: SchurComplement = field(default_factory=SchurComplement.solver_default)
+    local_solver: SchurComplement | Callable = field(default_factory=SchurComplement.solver_default)
     reduction: ReductionStrategy = ReductionStrategy.Auto
 
 
 @dataclass(frozen=True)
 class MultiplicativeSchwarz:
-    local_solver: SchurComplement = field(default_factory=SchurComplement.solver_default)
+    local_solver: SchurComplement | Callable = field(default_factory=SchurComplement.solver_default)
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,7 @@ their order, one factor after another.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from itertools import combinations
@@ -97,7 +98,7 @@ class Design:
 
     @cached_property
     def _pairs(self) -> pd.DataFrame:
-        """Pairs of levels, if they are within the bound."""
+        """Pairs of levels, if they do not exceed the bound."""
         if not self.pairs_fit:
             raise TooLarge(f"more than {self.most_pairs} pairs of levels; use the Implicit operator without an explicit preconditioner, or with Preconditioner.Off")
         return self._pair_groups().drop("n", "bad", "nulls").toPandas()
@@ -167,7 +168,13 @@ class Design:
 
     @cached_property
     def fingerprint(self) -> int:
-        return hash(tuple(tuple(map(str, x)) for x in self.levels))
+        """A digest of the factors' levels that is the same in every process."""
+        h = hashlib.sha256()
+        for x in self.levels:
+            h.update(f"{len(x)}:".encode())
+            for v in map(str, x):
+                h.update(f"{len(v)}:{v}".encode())
+        return int.from_bytes(h.digest()[:7], "big")
 
     def active(self, factor: int) -> np.ndarray:
         """Which levels occur."""
@@ -207,12 +214,16 @@ class Design:
         return SparseMatrix(self.n_dofs, np.concatenate(rows), np.concatenate(cols), np.concatenate(vals))
 
     def sums(self, df: DataFrame, columns: dict[str, Column]) -> np.ndarray:
-        """D'W y for each column, one pass for all: an array of (unknowns, columns)."""
+        """D'W y for each column, one pass for all: an array of (unknowns, columns). A null in a column is an error,
+        as its row counts in the Gramian."""
         names = list(columns)
-        base = df.select(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(self.factors)], *[(self.w * v.cast("double")).alias(f"v{j}") for j, v in enumerate(columns.values())])
+        base = df.select(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(self.factors)], *[(self.w * v.cast("double")).alias(f"v{j}") for j, v in enumerate(columns.values())], *[v.isNull().cast("long").alias(f"z{j}") for j, v in enumerate(columns.values())])
         cols = [f"f{k}" for k in range(self.n_factors)]
-        sums = base.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(F.grouping_id().alias("gid"), *[F.sum(f"v{j}").alias(f"v{j}") for j in range(len(names))])
+        sums = base.groupingSets([[F.col(c)] for c in cols], *[F.col(c) for c in cols]).agg(F.grouping_id().alias("gid"), *[F.sum(f"{x}{j}").alias(f"{x}{j}") for x in "vz" for j in range(len(names))])
         got = self._whole(sums).toPandas()
+        empty = [n for j, n in enumerate(names) if got[f"z{j}"].sum()]
+        if empty:
+            raise InvalidInput(f"null in some rows of {empty}; drop those rows first (solve with null_policy='drop' does)")
         out = np.zeros((self.n_dofs, len(names)))
         for k in range(self.n_factors):
             s = got[got["gid"] == sum(1 << (self.n_factors - 1 - j) for j in range(self.n_factors) if j != k)]

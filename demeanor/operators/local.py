@@ -13,7 +13,7 @@ from .matrices import CrossTab, SparseMatrix
 
 
 class LocalSolver(Protocol):
-    """What a user's own local solver has to offer."""
+    """What a user's own local solver has to offer; ``local_solver`` of a Schwarz configuration may be a function that makes one of a CrossTab."""
 
     n: int
 
@@ -45,6 +45,32 @@ def exact_schur(tab: CrossTab) -> np.ndarray:
     return s
 
 
+def sparse_schur(tab: CrossTab, pairs_at_once: int = 1 << 22) -> SparseMatrix:
+    """The same as ``exact_schur``, sparse: each eliminated level adds an entry for every two kept ones that it meets.
+
+    Entries are made for some eliminated levels at a time and equal ones folded, so that memory follows the
+    result and not the number of pairs made.
+    """
+    gone, kept, w, diag, q = oriented(tab)
+    keep = np.asarray(tab.diag_r if q else tab.diag_q, float)
+    n = len(keep)
+    order = np.argsort(gone, kind="stable")
+    gone, kept, w = gone[order], kept[order].astype(np.int64), w[order]
+    starts = np.searchsorted(gone, np.arange(len(diag) + 1))
+    degree = np.diff(starts)
+    made = np.r_[0, np.cumsum(degree[gone])]  # pairs made by the entries before each
+    places, values, at = [np.arange(n) * (n + 1)], [keep], 0
+    while at < len(gone):
+        end = max(at + 1, int(np.searchsorted(made, made[at] + pairs_at_once, "right")) - 1)
+        size = degree[gone[at:end]]
+        left = np.repeat(np.arange(at, end), size)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[gone[at:end]], size)
+        place, own = np.unique(np.concatenate([places[-1], kept[left] * n + kept[right]]), return_inverse=True)
+        total = np.bincount(own, np.concatenate([values[-1], -w[left] * w[right] / diag[gone[left]]]), len(place))
+        places, values, at = [place], [total], end
+    return SparseMatrix(n, places[-1] // max(n, 1), places[-1] % max(n, 1), values[-1])
+
+
 def star_tree(ends: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> list[tuple[int, int, float]]:
     """A sampled tree that stands, in the mean, for the clique that eliminating a star's centre makes."""
     order = np.argsort(w, kind="stable")
@@ -147,9 +173,7 @@ class BlockElimination:
         if config.approx_schur is not None:
             s = sampled_schur(tab, config.approx_schur.seed, config.approx_schur.split)
         else:
-            dense = exact_schur(tab)
-            i, j = np.nonzero(dense)
-            s = SparseMatrix(len(dense), i, j, dense[i, j])
+            s = sparse_schur(tab)
         self.reduced = ApproxCholesky(s, config.approx_chol)
 
     def solve(self, rhs: np.ndarray) -> np.ndarray:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pickle
-from dataclasses import dataclass
+import io
+import json
+from dataclasses import asdict, dataclass
 from itertools import combinations
 
 import numpy as np
 
-from ..config import AdditiveSchwarz, MultiplicativeSchwarz
-from ..errors import ApplyError, BuildError
+from ..config import AdditiveSchwarz, ApproxCholConfig, ApproxSchurConfig, MultiplicativeSchwarz, SchurComplement
+from ..errors import ApplyError, BuildError, DemeanError
 from .local import BlockElimination, LocalSolver
 from .matrices import CrossTab, SparseMatrix
 
@@ -56,7 +57,7 @@ def subdomains(tabs: dict[tuple[int, int], CrossTab], offsets: np.ndarray) -> li
 class FePreconditioner:
     """Additive or multiplicative Schwarz; can be kept, pickled and given to another solver of the same design."""
 
-    def __init__(self, kind: str, n: int, parts: list[Subdomain], gram: SparseMatrix | None = None, symmetric: bool = False, fingerprint: int = 0):
+    def __init__(self, kind: str, n: int, parts: list[Subdomain], gram: SparseMatrix | None = None, symmetric: bool = False, fingerprint: int = 0, local: object = None):
         if kind == "multiplicative" and gram is None:
             raise BuildError("multiplicative Schwarz needs the explicit Gramian")
         for s in parts:
@@ -65,6 +66,7 @@ class FePreconditioner:
             if s.solver is None or s.solver.n != len(s.index) or len(s.omega) != len(s.index):
                 raise BuildError("a subdomain's solver and unknowns differ in size")
         self.kind, self.n, self.parts, self.gram, self.symmetric, self.fingerprint = kind, n, parts, gram, symmetric, fingerprint
+        self.local = local
 
     nrows = ncols = property(lambda self: self.n)
     n_subdomains = property(lambda self: len(self.parts))
@@ -95,22 +97,71 @@ class FePreconditioner:
         return [len(s.tab.w) + len(s.index) for s in self.parts]
 
     def to_bytes(self) -> bytes:
-        return pickle.dumps(self)
+        """Plain arrays, without code: subdomains, their tabulations, the Gramian; local solvers are built anew on loading."""
+        if not isinstance(self.local, SchurComplement):
+            raise BuildError("only preconditioners with a SchurComplement local solver can be saved")
+        sizes = [[*s.pair, s.component, len(s.index), len(s.tab.w), len(s.tab.diag_q), len(s.tab.diag_r)] for s in self.parts]
+        head = {"format": FORMAT, "kind": self.kind, "n": self.n, "symmetric": self.symmetric, "fingerprint": self.fingerprint, "gram": self.gram is not None, "local": asdict(self.local)}
+        put = {"head": np.frombuffer(json.dumps(head).encode(), np.uint8), "sizes": np.array(sizes, np.int64).reshape(-1, 7)}
+        for name, of in _ARRAYS.items():
+            put[name] = np.concatenate([np.zeros(0), *(np.asarray(of(s), float) for s in self.parts)])
+        if self.gram is not None:
+            put |= {"rows": self.gram.rows, "cols": self.gram.cols, "values": self.gram.values}
+        out = io.BytesIO()
+        np.savez_compressed(out, **put)
+        return out.getvalue()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> FePreconditioner:
+        """Checks sizes, places and values, and raises BuildError for anything that ``to_bytes`` can't have written."""
         try:
-            out = pickle.loads(data)
+            with np.load(io.BytesIO(data), allow_pickle=False) as z:
+                got = {k: z[k] for k in z.files}
+            head = json.loads(got["head"].tobytes())
+            if head["format"] != FORMAT or head["kind"] not in ("additive", "multiplicative"):
+                raise BuildError("unknown format")
+            n, local = int(head["n"]), head["local"]
+            schur = local["approx_schur"]
+            local = SchurComplement(ApproxCholConfig(**local["approx_chol"]), ApproxSchurConfig(**schur) if schur is not None else None, local["dense_threshold"])
+            ends = {name: 0 for name in _ARRAYS}
+            parts = []
+            for q, r, component, size, nnz, n_q, n_r in got["sizes"].tolist():
+                one = {}
+                for name, length in zip(_ARRAYS, (size, size, nnz, nnz, nnz, n_q, n_r)):
+                    one[name] = got[name][ends[name] : ends[name] + length]
+                    ends[name] += length
+                    if length < 0 or len(one[name]) != length or not np.isfinite(one[name]).all():
+                        raise BuildError("a subdomain's arrays are cut off or not finite")
+                index, tq, tr = (one[k].astype(np.int64) for k in ("index", "q", "r"))
+                if size != n_q + n_r or len(np.unique(index)) != size or nnz and (tq.min() < 0 or tr.min() < 0 or tq.max() >= n_q or tr.max() >= n_r):
+                    raise BuildError("a subdomain's levels do not fit its tabulation")
+                if size and (one["omega"].min() <= 0 or one["omega"].max() > 1) or nnz and one["w"].min() <= 0 or size and (index.min() < 0 or index.max() >= n):
+                    raise BuildError("a subdomain's shares, weights or unknowns are out of range")
+                t = CrossTab(tq, tr, one["w"], one["diag_q"], one["diag_r"])
+                parts.append(Subdomain((q, r), component, index, one["omega"], t, BlockElimination(t, local)))
+            if any(ends[name] != len(got[name]) for name in _ARRAYS):
+                raise BuildError("there is more data than subdomains")
+            gram = None
+            if head["gram"]:
+                rows, cols, values = got["rows"], got["cols"], got["values"]
+                if not len(rows) == len(cols) == len(values) or not np.isfinite(values).all() or len(rows) and (min(rows.min(), cols.min()) < 0 or max(rows.max(), cols.max()) >= n):
+                    raise BuildError("the Gramian is out of range")
+                gram = SparseMatrix(n, rows, cols, values)
+            return cls(head["kind"], n, parts, gram, bool(head["symmetric"]), int(head["fingerprint"]), local)
+        except DemeanError as e:
+            raise BuildError(f"not a preconditioner: {e}") from e
         except Exception as e:
             raise BuildError("not a preconditioner") from e
-        if not isinstance(out, cls):
-            raise BuildError("not a preconditioner")
-        return out
+
+
+FORMAT = 1
+_ARRAYS = {"index": lambda s: s.index, "omega": lambda s: s.omega, "q": lambda s: s.tab.q, "r": lambda s: s.tab.r, "w": lambda s: s.tab.w, "diag_q": lambda s: s.tab.diag_q, "diag_r": lambda s: s.tab.diag_r}
 
 
 def build(config: AdditiveSchwarz | MultiplicativeSchwarz, tabs: dict[tuple[int, int], CrossTab], offsets: np.ndarray, gram: SparseMatrix | None, fingerprint: int = 0) -> FePreconditioner:
-    parts = subdomains(tabs, offsets)
+    """The preconditioner of these tabulations; a ``local_solver`` that is a function makes each subdomain's solver from its CrossTab."""
+    parts, local = subdomains(tabs, offsets), config.local_solver
     for s in parts:
-        s.solver = BlockElimination(s.tab, config.local_solver)
+        s.solver = BlockElimination(s.tab, local) if isinstance(local, SchurComplement) else local(s.tab)
     kind = "multiplicative" if isinstance(config, MultiplicativeSchwarz) else "additive"
-    return FePreconditioner(kind, int(offsets[-1]), parts, gram if kind == "multiplicative" else None, False, fingerprint)
+    return FePreconditioner(kind, int(offsets[-1]), parts, gram if kind == "multiplicative" else None, False, fingerprint, local)

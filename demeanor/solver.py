@@ -75,10 +75,20 @@ class Solver:
     """
 
     def __init__(self, df: DataFrame, factors: list[str], config=None, weights: str | None = None, preconditioner=None, levels: str = "observed", null_policy: str = "error", most_pairs: int = MOST_PAIRS):
+        self._build(Design(df, factors, weights, levels, null_policy, most_pairs), config, preconditioner)
+
+    @classmethod
+    def from_design(cls, design: Design, config=None, preconditioner=None) -> Solver:
+        """A solver of a design that was made, and perhaps scanned, before."""
+        out = cls.__new__(cls)
+        out._build(design, config, preconditioner)
+        return out
+
+    def _build(self, design: Design, config, preconditioner) -> None:
         began = time.perf_counter()
         self.config, choice = check(config, preconditioner)
         self.operator = getattr(self.config, "operator", OperatorRepr.Auto)
-        self.design = Design(df, factors, weights, levels, null_policy, most_pairs)
+        self.design = design
         self.design.n_obs
         self._m = self._diagonal = None
         if isinstance(choice, schwarz.FePreconditioner):
@@ -198,7 +208,10 @@ class Solver:
 
 
 def solve(df: DataFrame, factors: list[str], y: str, weights: str | None = None, config=None, preconditioner=None, **options) -> SolveResult:
+    """Demeans one response. With ``null_policy="drop"``, rows whose response is null are left out, too; else they are an error."""
     began = time.perf_counter()
+    if options.get("null_policy") == "drop" and y in df.columns:
+        df = df.where(F.col(f"`{y}`").isNotNull())
     s = Solver(df, factors, config, weights, preconditioner, **options)
     r = s.solve(y)
     r.time_total, r.time_setup = time.perf_counter() - began, r.time_setup + s.time_setup
@@ -206,6 +219,7 @@ def solve(df: DataFrame, factors: list[str], y: str, weights: str | None = None,
 
 
 def solve_batch(df: DataFrame, factors: list[str], ys: list[str], weights: str | None = None, config=None, preconditioner=None, **options) -> BatchSolveResult:
+    """Demeans several responses of one design. A null in any of them is an error: they share their rows."""
     began = time.perf_counter()
     r = Solver(df, factors, config, weights, preconditioner, **options).solve_batch(ys)
     r.time_total = time.perf_counter() - began

@@ -101,3 +101,15 @@ def test_sparse_matrix():
     assert np.allclose(m.matvec(np.array([1.0, 2, 3])), d @ [1, 2, 3]) and np.allclose(m.diagonal(), [2, 3, 4])
     assert np.allclose(m.submatrix(np.array([0, 2])).dense(), [[2, 1], [1, 4]])
     assert np.allclose(m.take_columns(np.array([0, 2]), np.array([1.0, 3])), d @ [1, 0, 3])
+
+
+def test_sparse_schur_equals_the_dense_one():
+    rng = np.random.default_rng(8)
+    for shape in ((40, 12), (12, 40), (1, 5), (7, 7)):
+        c = rng.random(shape) * (rng.random(shape) < 0.4) + 0.01 * np.eye(*shape)
+        c[0] += 0.1
+        c[:, 0] += 0.1
+        i, j = np.nonzero(c)
+        t = CrossTab(i, j, c[i, j], c.sum(axis=1), c.sum(axis=0))
+        for at_once in (1, 30, 1 << 22):
+            assert np.allclose(local.sparse_schur(t, at_once).dense(), local.exact_schur(t))

@@ -1,9 +1,15 @@
+import io
+import os
+import pickle
+import subprocess
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
 
 import demeanor as D
-from demeanor.errors import EmptyObservations, InvalidInput, TooLarge
+from demeanor.errors import BuildError, EmptyObservations, InvalidInput, TooLarge
 from demeanor.operators.design import Design
 from demeanor.sources import designs
 
@@ -93,3 +99,60 @@ def test_more_pairs_than_the_bound(spark, factors):
             D.Solver(df, factors, config, "w", m, most_pairs=30).solve("y")
     n = len(Design(df, factors)._pairs)
     assert Design(df, factors, most_pairs=n).pairs_fit and not Design(df, factors, most_pairs=n - 1).pairs_fit
+
+
+def test_null_responses(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "x", None), ("a", "y", 3.0), ("b", "y", 2.0)], "f0 string, f1 string, y double")
+    for f in (["f0"], ["f0", "f1"]):
+        for config in (D.CG(), D.LSMR()):
+            with pytest.raises(InvalidInput, match="null"):
+                D.solve(df, f, "y", config=config)
+    got = D.solve(df, ["f0"], "y", null_policy="drop").demeaned.orderBy("y").toPandas()["demeaned"]
+    assert got.tolist() == [-1.0, 0.0, 1.0]
+
+
+def test_preconditioner_in_another_process(spark, tmp_path):
+    df = designs.panel(spark, 30, 4, 5).cache()
+    kept = D.Solver(df, ["f0", "f1", "f2"], D.GMRES(), preconditioner=D.Preconditioner.Multiplicative).preconditioner()
+    data = kept.to_bytes()
+    (tmp_path / "m").write_bytes(data)
+    code = f"import numpy as np; from demeanor import FePreconditioner as P; m = P.from_bytes(open({str(tmp_path / 'm')!r}, 'rb').read()); print(m.fingerprint, repr(float(m(np.arange(m.n) % 7.0).sum())))"
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONHASHSEED": "7"}).stdout.split()
+    r = np.arange(kept.n) % 7.0
+    assert int(said[0]) == Design(df, ["f0", "f1", "f2"]).fingerprint and abs(float(said[1]) - kept(r).sum()) < 1e-9
+    for bad in (b"", b"junk", data[:-40], pickle.dumps(kept)):
+        with pytest.raises(BuildError):
+            D.FePreconditioner.from_bytes(bad)
+    with np.load(io.BytesIO(data)) as z:
+        good = {k: z[k] for k in z.files}
+    for name, value in (("index", 10**6), ("omega", -1), ("q", 10**6), ("w", np.nan), ("cols", 10**6)):
+        changed = {k: v.copy() for k, v in good.items()}
+        changed[name][0] = value
+        out = io.BytesIO()
+        np.savez(out, **changed)
+        with pytest.raises(BuildError):
+            D.FePreconditioner.from_bytes(out.getvalue())
+
+
+def test_own_local_solver_and_design(spark):
+    class LeastSquares:
+        def __init__(self, t):
+            self.n, n_q = len(t.diag_q) + len(t.diag_r), len(t.diag_q)
+            m = np.diag(np.r_[t.diag_q, t.diag_r].astype(float))
+            m[t.q, n_q + t.r] = m[n_q + t.r, t.q] = t.w
+            self.inverse = np.linalg.pinv(m)
+
+        def solve(self, rhs):
+            return self.inverse @ rhs
+
+    df = designs.panel(spark, 30, 4, 5).cache()
+    design = Design(df, ["f0", "f1", "f2"])
+    own = D.Solver.from_design(design, D.CG(tol=1e-11), D.AdditiveSchwarz(LeastSquares))
+    usual = D.Solver.from_design(design, D.CG(tol=1e-11))
+    assert np.abs(left_of(own.solve("y")) - left_of(usual.solve("y"))).max() < 1e-8
+    with pytest.raises(BuildError):
+        own.preconditioner().to_bytes()
+
+
+def left_of(r):
+    return r.demeaned.orderBy("f0", "f1", "f2", "y").toPandas()["demeaned"].to_numpy()
