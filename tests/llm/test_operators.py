@@ -360,3 +360,45 @@ def test_factorization_machine_learns_a_pair():
     s = m.scores([[0], [1], [0, 1], []])
     assert s[2] > 0.7 and max(s[0], s[1], s[3]) < 0.5
     assert 0 <= toxicity.train([[]], np.zeros(1), {}).scores([[]])[0] <= 1
+
+
+def test_pii_base_spans_equal_the_plain_patterns():
+    rng = np.random.default_rng(6)
+    bits = [*"0123456789", "@", ".", "-", " ", "+", "(", ")", "a", "Z", "_", "%", "é", "255", "256", "4041 8949 7460 8795", "me@x.org", "+1 988 555", "10.0.0.1", "\n"]
+    plain = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(x) <= 255 for x in t.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda t: 16 <= len(re.findall("[0-9]", t)) <= 19 and pii.luhn("".join(re.findall("[0-9]", t)))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 8 <= len(re.findall("[0-9]", t)) <= 15),
+    }
+    seen = Counter()
+    for _ in range(4000):
+        t = "".join(rng.choice(bits, rng.integers(1, 25)))
+        want = [(k, m.start(), m.end()) for k, (p, ok) in plain.items() for m in re.finditer(p, t) if ok(m[0])]
+        assert [(x.kind, x.start, x.end) for x in pii.find(t) if x.kind in plain] == want
+        seen.update(k for k, _, _ in want)
+    assert min(seen[k] for k in plain) > 20
+
+
+def test_toxicity_on_dataframes(spark):
+    words = [f"word{k}" for k in range(30)]
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        t = [*rng.choice(words, 12), *(["insult", "group"] if toxic else [["insult"], ["group"], []][i % 3])]
+        rows.append((i, " ".join(rng.permutation(t))))
+        labels.append((i, int(toxic)))
+    odd = [(600, None), (601, ""), (601, ""), (602, " ".join(words) * 3000), (None, "insult group")]
+    docs = spark.createDataFrame([(i, t, 9) for i, t in rows + odd], "doc_id long, text string, toxic int")
+    known = spark.createDataFrame([*labels, (None, 1), (600, None)], "doc_id long, toxic int")
+    machine = toxicity.learn(docs, known)
+    got = {}
+    for r in toxicity.score_texts(docs, machine).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert sum(map(len, got.values())) == len(rows) + len(odd) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for x in got.values() for r in x)
+    held = [i for i, _ in rows if got[i][0].held_out]
+    assert 150 < len(held) < 250 and np.mean([got[i][0].predicted == labels[i][1] for i in held]) > 0.97
+    assert got[600][0].score == got[601][0].score and got[None][0].predicted == 1
+    none = toxicity.learn(docs.limit(0), known.limit(0))
+    assert toxicity.score_texts(docs.limit(0), none).count() == 0 and 0 <= toxicity.score_texts(docs, none).first().score <= 1
