@@ -13,11 +13,12 @@ from .config import (
     ReductionStrategy,
     SchurComplement,
 )
+from .operators.krylov import StopReason
 from .operators.schwarz import FePreconditioner
 from .solver import BatchSolveResult, Solver, SolveResult, regress, solve, solve_batch
 
 __all__ = [
     "CG", "GMRES", "LSMR", "AdditiveSchwarz", "ApproxCholConfig", "ApproxSchurConfig", "BatchSolveResult", "FePreconditioner",
-    "MultiplicativeSchwarz", "OperatorRepr", "Preconditioner", "ReductionStrategy", "SchurComplement", "SolveResult", "Solver",
+    "MultiplicativeSchwarz", "OperatorRepr", "Preconditioner", "ReductionStrategy", "SchurComplement", "SolveResult", "Solver", "StopReason",
     "regress", "solve", "solve_batch",
 ]

@@ -9,6 +9,7 @@ their order, one factor after another.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from itertools import combinations
@@ -237,12 +238,19 @@ class Design:
         got = base.groupBy(*[f"f{k}" for k in range(self.n_factors)]).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(f"y{j}")).alias(f"s{j}") for j in range(n)], *[F.sum(F.col("w") * F.col(f"y{j}") * F.col(f"y{j}")).alias(f"t{j}") for j in range(n)])
         got = got.limit(self.most_pairs + 1).toPandas()
         if len(got) > self.most_pairs:
-            raise TooLarge("too many distinct tuples of levels for LSMR; use CG")
+            raise TooLarge(f"more than {self.most_pairs} distinct tuples of levels")
         codes = np.stack([self.offsets[k] + self.codes(k, got[f"f{k}"]) for k in range(self.n_factors)])
         order = np.lexsort(codes[::-1])
         pick = lambda p: got[[f"{p}{j}" for j in range(n)]].to_numpy(float)[order]
         return Cells(codes[:, order], got["w"].to_numpy(float)[order], pick("s"), pick("t"))
 
+    @cached_property
+    def cells_fit(self) -> bool:
+        """Whether there are at most ``most_pairs`` distinct tuples of levels; counted in Spark unless rows or levels rule more out."""
+        if min(self.n_obs, math.prod(self.n_levels)) <= self.most_pairs:
+            return True
+        return self.df.select(*[F.col(f"`{f}`") for f in self.factors]).distinct().count() <= self.most_pairs
+
     def coefficient_tables(self, x: np.ndarray) -> list[DataFrame]:
         """(level, coef) of each factor, as tables; small ones are marked for broadcast."""
         spark, out = self.df.sparkSession, []
@@ -263,13 +271,21 @@ class Design:
 
     @cached_property
     def encoded(self) -> DataFrame:
-        """Unknowns by factor (d0, d1, ...) and weight of every observation, for products over the observations."""
-        spark, df = self.df.sparkSession, self.df.select(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(self.factors)], self.w.alias("w"))
+        """Unknowns by factor (d0, d1, ...) and weight of every observation, for products over the observations; kept until ``release``."""
+        return self.encode(F.lit(0.0)).drop("y").persist()
+
+    def release(self) -> None:
+        """Give back what is kept on the executors."""
+        if "encoded" in self.__dict__:
+            self.__dict__.pop("encoded").unpersist()
+
+    def encode(self, y: Column) -> DataFrame:
+        spark, df = self.df.sparkSession, self.df.select(*[F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(self.factors)], self.w.alias("w"), y.cast("double").alias("y"))
         for k in range(self.n_factors):
             t = spark.createDataFrame(pd.DataFrame({f"l{k}": self.levels[k], f"d{k}": self.offsets[k] + np.arange(self.n_levels[k])}))
             t = F.broadcast(t) if self.n_levels[k] <= BROADCAST_LEVELS else t
             df = df.join(t, F.col(f"f{k}") == F.col(f"l{k}")).drop(f"f{k}", f"l{k}")
-        return df.persist()
+        return df
 
     def implicit_product(self, x: np.ndarray) -> np.ndarray:
         """D'W D x over the observations: each partition gathers, scatters into its own sums, and those add up."""
@@ -283,7 +299,7 @@ class Design:
                 at = [b.column(f"d{k}").to_numpy() for k in range(q)]
                 v = sum(shared.value[a] for a in at) * b.column("w").to_numpy()
                 for a in at:
-                    out += np.bincount(a, v, n)
+                    np.add.at(out, a, v)
                 seen = True
             on = np.flatnonzero(out) if seen else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array(out[on], pa.float64())], ["dof", "v"])
@@ -291,3 +307,66 @@ class Design:
         got = self.encoded.mapInArrow(run, "dof long, v double").groupBy("dof").agg(F.sum("v").alias("v")).toPandas()
         shared.destroy()
         return np.bincount(got["dof"], got["v"], n)
+
+
+class RowVector:
+    """The vector D x + c y, with an entry for each observation, known by x and c alone.
+
+    Solvers that combine a response with products of the design need no column for it: the vectors that
+    they make are all of this form. Its length, weighted, and its sums by level come from one pass over ``rows``
+    (``Design.encode``), made when first asked for. c stays bounded by the ratio of y to the part of y that no x reaches.
+    """
+
+    def __init__(self, rows: DataFrame, x: np.ndarray, c: float):
+        self.rows, self.x, self.c = rows, x, c
+        self._known: tuple[np.ndarray, float] | None = None
+
+    def product(self, x: np.ndarray) -> RowVector:
+        return RowVector(self.rows, x, 0.0)
+
+    def __sub__(self, other: RowVector) -> RowVector:
+        return RowVector(self.rows, self.x - other.x, self.c - other.c)
+
+    def __rmul__(self, by: float) -> RowVector:
+        return self._scaled(by)
+
+    def __truediv__(self, by: float) -> RowVector:
+        return self._scaled(1 / by)
+
+    def _scaled(self, by: float) -> RowVector:
+        out = RowVector(self.rows, self.x * by, self.c * by)
+        if self._known:
+            out._known = self._known[0] * by, self._known[1] * abs(by)
+        return out
+
+    def length(self) -> float:
+        return self._pass()[1]
+
+    def sums(self) -> np.ndarray:
+        """D'W of the vector."""
+        return self._pass()[0]
+
+    def _pass(self) -> tuple[np.ndarray, float]:
+        if self._known is None:
+            import pyarrow as pa
+
+            c, n, codes = self.c, len(self.x), [f for f in self.rows.columns if f[0] == "d"]
+            shared = self.rows.sparkSession.sparkContext.broadcast(self.x)
+
+            def run(batches):
+                out, square = np.zeros(n), 0.0
+                for b in batches:
+                    at = [b.column(f).to_numpy() for f in codes]
+                    v = sum(shared.value[a] for a in at) + c * b.column("y").to_numpy(zero_copy_only=False)
+                    wv = v * b.column("w").to_numpy()
+                    square += float(v @ wv)
+                    for a in at:
+                        np.add.at(out, a, wv)
+                on = np.flatnonzero(out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, on], pa.int64()), pa.array(np.r_[square, out[on]], pa.float64())], ["dof", "v"])
+
+            got = self.rows.mapInArrow(run, "dof long, v double").groupBy("dof").agg(F.sum("v").alias("v")).toPandas()
+            shared.destroy()
+            total = np.bincount(got["dof"] + 1, got["v"], n + 1)
+            self._known = total[1:], float(np.sqrt(total[0]))
+        return self._known

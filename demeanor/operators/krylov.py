@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
+from enum import Enum
 
 import numpy as np
 
@@ -14,13 +15,28 @@ Apply = Callable[[np.ndarray], np.ndarray]
 EPS = float(np.finfo(float).eps)
 
 
+class StopReason(Enum):
+    """Why a solver ended."""
+
+    ZeroRhs = "zero right-hand side"
+    OrthogonalRhs = "orthogonal right-hand side"
+    Tolerance = "tolerance"
+    Residual = "residual"
+    NormalEquations = "normal equations"
+    ClosedForm = "closed form"
+    Iterations = "iterations"
+    Stagnation = "stagnation"
+    NoDescent = "no descent"
+    NotFinite = "response is not finite"
+
+
 @dataclass
 class Outcome:
     x: np.ndarray
     converged: bool
     iterations: int
     residual: float
-    reason: str = ""
+    reason: StopReason
 
 
 def cg(a: Apply, b: np.ndarray, m: Apply | None = None, tol: float = 1e-8, maxiter: int = 1000) -> Outcome:
@@ -29,7 +45,7 @@ def cg(a: Apply, b: np.ndarray, m: Apply | None = None, tol: float = 1e-8, maxit
     scale = float(np.linalg.norm(b))
     x = np.zeros_like(b)
     if scale < EPS:
-        return Outcome(x, True, 0, 0.0, "zero right-hand side")
+        return Outcome(x, True, 0, 0.0, StopReason.ZeroRhs)
     r = b.copy()
     z = m(r)
     p = z.copy()
@@ -38,20 +54,20 @@ def cg(a: Apply, b: np.ndarray, m: Apply | None = None, tol: float = 1e-8, maxit
         ap = a(p)
         curve = float(p @ ap)
         if not curve > 0:
-            return Outcome(x, False, k, float(np.linalg.norm(r)) / scale, "no descent")
+            return Outcome(x, False, k, float(np.linalg.norm(r)) / scale, StopReason.NoDescent)
         step = rz / curve
         x += step * p
         r -= step * ap
         left = float(np.linalg.norm(r)) / scale
         if left <= tol:
-            return Outcome(x, True, k, left, "tolerance")
+            return Outcome(x, True, k, left, StopReason.Tolerance)
         z = m(r)
         new = float(r @ z)
         if abs(new) < EPS**2 * max(abs(first), np.finfo(float).tiny):
-            return Outcome(x, False, k, left, "stagnation")
+            return Outcome(x, False, k, left, StopReason.Stagnation)
         p = z + (new / rz) * p
         rz = new
-    return Outcome(x, False, maxiter, float(np.linalg.norm(r)) / scale, "iterations")
+    return Outcome(x, False, maxiter, float(np.linalg.norm(r)) / scale, StopReason.Iterations)
 
 
 def gmres(a: Apply, b: np.ndarray, m: Apply | None = None, tol: float = 1e-8, maxiter: int = 1000, restart: int = 30) -> Outcome:
@@ -60,13 +76,13 @@ def gmres(a: Apply, b: np.ndarray, m: Apply | None = None, tol: float = 1e-8, ma
     scale = float(np.linalg.norm(b))
     x = np.zeros_like(b)
     if scale < EPS:
-        return Outcome(x, True, 0, 0.0, "zero right-hand side")
+        return Outcome(x, True, 0, 0.0, StopReason.ZeroRhs)
     done, restart = 0, max(1, min(restart, len(b)))
     while True:
         r = b - a(x)
         norm = float(np.linalg.norm(r))
         if norm <= tol * scale or done >= maxiter:
-            return Outcome(x, norm <= tol * scale, done, norm / scale, "tolerance" if norm <= tol * scale else "iterations")
+            return Outcome(x, norm <= tol * scale, done, norm / scale, StopReason.Tolerance if norm <= tol * scale else StopReason.Iterations)
         basis, steps = [r / norm], []
         h = np.zeros((restart + 1, restart))
         turns: list[tuple[float, float]] = []
@@ -100,23 +116,25 @@ def gmres(a: Apply, b: np.ndarray, m: Apply | None = None, tol: float = 1e-8, ma
         old = x
         x = x + sum(c * v for c, v in zip(y, steps))
         if float(np.linalg.norm(x - old)) == 0.0:
-            return Outcome(x, False, done, float(np.linalg.norm(b - a(x))) / scale, "stagnation")
+            return Outcome(x, False, done, float(np.linalg.norm(b - a(x))) / scale, StopReason.Stagnation)
 
 
 def lsmr(a: Apply, at: Apply, b: np.ndarray, m: Apply | None = None, tol: float = 1e-8, maxiter: int = 1000, local_size: int | None = None, extra: float = 0.0) -> Outcome:
     """LSMR for min |b - A x|, with a symmetric preconditioner of A'A.
 
     ``extra``: squared length of a part of b that no x reaches, left out of ``b``; it counts in the
-    stopping rules. ``local_size``: so many earlier directions are kept orthogonal.
+    stopping rules. ``local_size``: so many earlier directions are kept orthogonal. ``b`` and what ``a``
+    returns are arrays, or vectors with ``length()`` that can be scaled and subtracted.
     """
     if not np.isfinite(tol) or tol < 0:
         raise ConfigError("tol must be finite and not negative")
-    if not np.isfinite(b).all():
+    length = (lambda v: float(np.linalg.norm(v))) if isinstance(b, np.ndarray) else (lambda v: v.length())
+    beta = length(b)
+    if not np.isfinite(beta):
         raise ConfigError("the right-hand side must be finite")
     m = m or (lambda v: v.copy())
-    beta = float(np.linalg.norm(b))
     if beta == 0.0:
-        return Outcome(np.zeros_like(at(b)), True, 0, 0.0, "zero right-hand side")
+        return Outcome(np.zeros_like(at(b)), True, 0, 0.0, StopReason.ZeroRhs)
     whole = float(np.sqrt(beta**2 + extra))
     u = b / beta
     p = at(u)
@@ -124,7 +142,7 @@ def lsmr(a: Apply, at: Apply, b: np.ndarray, m: Apply | None = None, tol: float
     alpha = float(np.sqrt(max(v @ p, 0.0)))
     x = np.zeros_like(v)
     if alpha == 0.0:
-        return Outcome(x, True, 0, 0.0, "orthogonal right-hand side")
+        return Outcome(x, True, 0, 0.0, StopReason.OrthogonalRhs)
     v, p = v / alpha, p / alpha
     near: deque = deque([(v, p)], maxlen=local_size) if local_size else deque(maxlen=0)
     zetabar, alphabar, rho, rhobar, cbar, sbar = alpha * beta, alpha, 1.0, 1.0, 1.0, 0.0
@@ -133,9 +151,9 @@ def lsmr(a: Apply, at: Apply, b: np.ndarray, m: Apply | None = None, tol: float
     norm_a2 = alpha**2
     for k in range(1, maxiter + 1):
         u = a(v) - alpha * u
-        beta = float(np.linalg.norm(u))
+        beta = length(u)
         if beta > 0:
-            u /= beta
+            u = u / beta
             p = at(u) - beta * p
             v = m(p)
             for q, mq in near:
@@ -172,5 +190,5 @@ def lsmr(a: Apply, at: Apply, b: np.ndarray, m: Apply | None = None, tol: float
         norm_a2 += beta**2 + alpha**2
         normal = abs(zetabar) / max(np.sqrt(norm_a2) * res, np.finfo(float).tiny)
         if res <= tol * whole or normal <= tol or alpha == 0.0:
-            return Outcome(x, True, k, normal, "residual" if res <= tol * whole else "normal equations")
-    return Outcome(x, False, maxiter, abs(zetabar), "iterations")
+            return Outcome(x, True, k, normal, StopReason.Residual if res <= tol * whole else StopReason.NormalEquations)
+    return Outcome(x, False, maxiter, abs(zetabar), StopReason.Iterations)

@@ -88,7 +88,10 @@ class FePreconditioner:
 
     apply = __call__
 
-    def diagnostics(self) -> dict[str, float]:
+    def diagnostics(self) -> dict[str, float] | None:
+        """Sizes and work of additive Schwarz; None for multiplicative, whose parts come one after another."""
+        if self.kind != "additive":
+            return None
         sizes = [len(s.index) for s in self.parts]
         work = [len(s.tab.w) + len(s.index) for s in self.parts]
         return {"subdomains": len(sizes), "total_inner_work": sum(work), "max_inner_work": max(work, default=0), "scatter_dofs": sum(sizes), "overlap": sum(sizes) / self.n if self.n else 0.0}

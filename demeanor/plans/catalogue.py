@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.components import largest_component
+from ..functions.components import pair_components as components_of
 from ..functions.diagnostics import max_abs_group_mean
 from ..operators import design as D
 from ..operators import schwarz
@@ -98,6 +100,40 @@ def largest_component_rows(spark, sf_dir):
     return rows.join(F.broadcast(best.select("component")), "component", "left_semi").select("c_custkey", "c_nationkey")
 
 
+def _paths(spark, sf_dir):
+    """All customers as links of paths: each hundred keys is one, and each key ties two halved numbers together."""
+    key, path = F.col("c_custkey"), F.floor(F.col("c_custkey") / 100) * 1000
+    of = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return of.select("c_custkey", (path + F.floor(key % 100 / 2)).alias("a"), (path + F.floor((key % 100 + 1) / 2)).alias("b"))
+
+
+def path_components(spark, sf_dir):
+    """Components that take many hops, found on the cluster."""
+    return components_of(_paths(spark, sf_dir), "a", "b").select("factor", F.coalesce("a", "b").alias("level"), "component")
+
+
+def path_components_driver(spark, sf_dir):
+    """The same from the pairs on the driver."""
+    d = D.Design(_paths(spark, sf_dir), ["a", "b"])
+    of = pd.DataFrame({"factor": [k for k in range(2) for _ in d.levels[k]], "level": [int(v) for lv in d.levels for v in lv], "label": d.tab(0, 1).components()})
+    of["component"] = of["label"].map(of[of["factor"] == 0].groupby("label")["level"].min())
+    return spark.createDataFrame(of[["factor", "level", "component"]]).withColumn("factor", F.col("factor").cast("int"))
+
+
+def largest_path(spark, sf_dir):
+    return largest_component(_paths(spark, sf_dir), "a", "b")
+
+
+def coefficients_2way(spark, sf_dir):
+    """Coefficients of every level, less their means over the rows, which two factors leave open."""
+    lines = _lines(spark, sf_dir)
+    s = Solver(lines, [PART, SUPP], C.CG(tol=TIGHT))
+    x, n = s.solve("l_extendedprice").vector, s.design.diagonal()
+    for lo, hi in zip(s.design.offsets, s.design.offsets[1:]):
+        x[lo:hi] -= (x[lo:hi] * n[lo:hi]).sum() / n[lo:hi].sum()
+    return s.design.coefficients(x).select("factor", F.col("level").cast("long").alias("level"), F.round(F.col("coef") * F.pi(), 2).alias("coef"))
+
+
 def pou_weights(spark, sf_dir):
     d = D.Design(_lines(spark, sf_dir), ["l_linenumber", SUPP, "l_returnflag"])
     parts = schwarz.subdomains(d.tabs, d.offsets)
@@ -120,8 +156,8 @@ def _squares(df: DataFrame, col: str = "demeaned") -> DataFrame:
     return df.groupBy("l_returnflag").agg(F.round(F.avg(F.col(col) * F.col(col)) / 1e6, 4).alias("msr"))
 
 
-def demean(spark, sf_dir, factors, weight=None, config=None, preconditioner=None):
-    r = solve(_lines(spark, sf_dir), factors, "l_extendedprice", weight, config or C.CG(tol=TIGHT), preconditioner)
+def demean(spark, sf_dir, factors, weight=None, config=None, preconditioner=None, **options):
+    r = solve(_lines(spark, sf_dir), factors, "l_extendedprice", weight, config or C.CG(tol=TIGHT), preconditioner, **options)
     return _squares(r.demeaned)
 
 
@@ -151,8 +187,10 @@ def demean_batch(spark, sf_dir):
 
 
 def group_mean_max(spark, sf_dir):
-    r = solve(_lines(spark, sf_dir), [PART, SUPP], "l_extendedprice", config=C.CG(tol=TIGHT))
-    return max_abs_group_mean(r.demeaned, [PART, SUPP]).select(F.round("max_abs_group_mean", 6).alias("max_abs_group_mean"))
+    """After one factor is projected out, the largest mean that the other still has; after both, none."""
+    one, both = (solve(_lines(spark, sf_dir), f, "l_extendedprice", config=C.CG(tol=TIGHT)).demeaned for f in ([PART], [PART, SUPP]))
+    left = max_abs_group_mean(one, [PART, SUPP]).select(F.round(F.col("max_abs_group_mean") * F.pi(), 4).alias("after_one"))
+    return left.withColumn("after_both", F.lit(max_abs_group_mean(both, [PART, SUPP]).select(F.round("max_abs_group_mean", 6)).first()[0]))
 
 
 def fwl_slope(spark, sf_dir):
@@ -188,6 +226,8 @@ _VARIANTS: dict[str, Query] = {
     "demean_cg_implicit": partial(demean, factors=_TWO, config=C.CG(tol=TIGHT, operator=C.OperatorRepr.Implicit)),
     "demean_gmres_mult": partial(demean, factors=_TWO, config=C.GMRES(tol=TIGHT), preconditioner=C.Preconditioner.Multiplicative),
     "demean_lsmr": partial(demean, factors=_TWO, config=C.LSMR(tol=TIGHT)),
+    "demean_lsmr_rows": partial(demean, factors=_TWO, config=C.LSMR(tol=1e-10), most_pairs=1000),
+    "demean_3way_large": partial(demean, factors=["l_orderkey", PART, SUPP], preconditioner=C.Preconditioner.Off),
     "demean_unprec": partial(demean, factors=_TWO, preconditioner=C.Preconditioner.Off),
     "demean_approx_schur": partial(demean, factors=_TWO, preconditioner=C.AdditiveSchwarz(C.SchurComplement(approx_schur=C.ApproxSchurConfig(split=2), dense_threshold=0))),
     "gram_diagonal_weighted": partial(gram_diagonal, weight="l_quantity"),
@@ -197,7 +237,7 @@ _VARIANTS: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    plain = [level_counts, gram_diagonal, scatter_wy, gather_fitted, gram_matvec, cross_tab, gram_explicit, pair_components, largest_component_rows, pou_weights, schur_exact]
+    plain = [level_counts, gram_diagonal, scatter_wy, gather_fitted, gram_matvec, cross_tab, gram_explicit, pair_components, largest_component_rows, path_components, path_components_driver, largest_path, coefficients_2way, pou_weights, schur_exact]
     plain += [demean_rows, demean_null_y, demean_implicit_large, demean_batch, group_mean_max, fwl_slope, user_type_events, solver_report, preconditioner_reuse]
     return {f.__name__: f for f in plain} | _VARIANTS
 
@@ -236,6 +276,10 @@ def oracle_sql() -> dict[str, str]:
     )
     three = ["l_linenumber", SUPP, "l_returnflag"]
     pou = " UNION ALL ".join(f"SELECT {q} AS q, {r} AS r, {k} AS factor, {three[k]}::VARCHAR AS level, round(1 / sqrt(2.0), 9) AS omega FROM lineitem GROUP BY {three[k]}" for q in range(3) for r in range(q + 1, 3) for k in (q, r))
+    paths = """WITH RECURSIVE p AS (SELECT c_custkey, c_custkey // 100 * 1000 + c_custkey % 100 // 2 AS a, c_custkey // 100 * 1000 + (c_custkey % 100 + 1) // 2 AS b FROM customer),
+l AS (SELECT DISTINCT x.a AS n, y.a AS m FROM p x JOIN p y ON x.b = y.b),
+reach AS (SELECT n, m FROM l UNION SELECT reach.n, l.m FROM reach JOIN l ON reach.m = l.n),
+named AS (SELECT n, min(m) AS component FROM reach GROUP BY 1)"""
     comp = "WITH c AS (SELECT c_custkey, c_nationkey, min(c_custkey) OVER (PARTITION BY c_nationkey) AS component FROM customer)"
     return {
         "level_counts": " UNION ALL ".join(f"SELECT '{f}' AS factor, count(DISTINCT {f}) AS n_levels, max({f}) + 1 AS n_codes FROM lineitem" for f in _TWO),
@@ -259,11 +303,16 @@ SELECT i, j, round(sum(s), 6) + 0.0 AS s FROM x GROUP BY 1, 2""",
         "demean_null_y": f"SELECT l_orderkey, l_linenumber, round((l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY {SUPP})) * pi(), 2) AS demeaned FROM lineitem WHERE l_linenumber <> 3",
         "demean_1way": msr([PART], sweeps=1),
         "demean_1way_weighted": msr([PART], "l_quantity", 1),
-        **{k: two for k in ("demean_2way", "demean_cg_explicit", "demean_cg_implicit", "demean_gmres_mult", "demean_lsmr", "demean_unprec", "demean_approx_schur", "preconditioner_reuse", "demean_implicit_large")},
+        **{k: two for k in ("demean_2way", "demean_cg_explicit", "demean_cg_implicit", "demean_gmres_mult", "demean_lsmr", "demean_unprec", "demean_approx_schur", "demean_lsmr_rows", "preconditioner_reuse", "demean_implicit_large")},
         "demean_2way_weighted": msr(_TWO, "l_quantity"),
         "demean_3way": msr([SUPP, "l_linenumber", "l_returnflag"], sweeps=20),
         "demean_batch": _sweeps("lineitem", _TWO, ["l_extendedprice", "l_quantity"], 20) + "\nSELECT l_returnflag, round(avg(r0 * r0) / 1e6, 4) AS msr_price, round(avg(r1 * r1), 4) AS msr_quantity FROM e GROUP BY 1",
-        "group_mean_max": "SELECT 0.0::DOUBLE AS max_abs_group_mean",
+        "demean_3way_large": msr(["l_orderkey", *_TWO], sweeps=40),
+        **{k: paths + " SELECT 0 AS factor, n AS level, component FROM named UNION ALL SELECT DISTINCT 1, b, component FROM p JOIN named ON p.a = named.n" for k in ("path_components", "path_components_driver")},
+        "largest_path": paths + " SELECT c_custkey, a, b FROM p JOIN named ON p.a = named.n WHERE component = (SELECT component FROM p JOIN named ON p.a = named.n GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)",
+        "coefficients_2way": _sweeps("lineitem", _TWO, ["l_extendedprice"], 30) + "".join(f",\nc{k} AS (SELECT lv, sum(m0) AS x FROM ({' UNION ALL '.join(f'SELECT lv, m0 FROM m{j}' for j in range(k, 60, 2))}) GROUP BY 1)" for k in range(2))
+        + " UNION ALL ".join(f"\nSELECT '{f}' AS factor, lv AS level, round((x - (SELECT avg(x) FROM lineitem JOIN c{k} ON {f} = lv)) * pi(), 2) AS coef FROM c{k}" for k, f in enumerate(_TWO)),
+        "group_mean_max": f"WITH e AS (SELECT {SUPP}, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY {PART}) AS r FROM lineitem), m AS (SELECT avg(r) AS m FROM e GROUP BY {SUPP}) SELECT round(max(abs(m)) * pi(), 4) AS after_one, 0.0::DOUBLE AS after_both FROM m",
         "fwl_slope": _sweeps("lineitem", _TWO, ["l_extendedprice", "l_quantity"], 20) + "\nSELECT 'l_quantity' AS term, round(sum(r0 * r1) / sum(r1 * r1) / 1e3, 6) AS slope FROM e",
         "user_type_events": _sweeps("events", ["user_id", "event_type"], ["value"], 12) + "\nSELECT event_type, round(avg(r0 * r0), 4) AS msr FROM e GROUP BY 1",
     }

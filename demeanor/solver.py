@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .config import GMRES, LSMR, AdditiveSchwarz, MultiplicativeSchwarz, OperatorRepr, Preconditioner, check
 from .errors import BuildError, InvalidInput
 from .operators import schwarz
-from .operators.design import MOST_PAIRS, Design, gather
-from .operators.krylov import EPS, Outcome, cg, gmres, lsmr
+from .operators.design import MOST_PAIRS, Design, RowVector, gather
+from .operators.krylov import EPS, Outcome, StopReason, cg, gmres, lsmr
 
 
 @dataclass
@@ -29,6 +29,7 @@ class SolveResult:
     time_setup: float
     time_solve: float
     vector: np.ndarray
+    reason: StopReason
 
 
 @dataclass
@@ -42,6 +43,7 @@ class BatchSolveResult:
     final_residual: list[float]
     time_solve: list[float]
     time_total: float
+    reasons: list[StopReason]
 
     n_rhs = property(lambda self: len(self.names))
 
@@ -60,8 +62,8 @@ class BatchSolveResult:
         return self.demeaned_all.select(*keep)
 
     def report(self) -> DataFrame:
-        rows = [(n, bool(c), int(k), float(r)) for n, c, k, r in zip(self.names, self.converged, self.iterations, self.final_residual)]
-        return self.design.df.sparkSession.createDataFrame(rows, "response string, converged boolean, iterations long, residual double")
+        rows = [(n, bool(c), int(k), float(r), why.value) for n, c, k, r, why in zip(self.names, self.converged, self.iterations, self.final_residual, self.reasons)]
+        return self.design.df.sparkSession.createDataFrame(rows, "response string, converged boolean, iterations long, residual double, reason string")
 
 
 class Solver:
@@ -145,11 +147,11 @@ class Solver:
                 if isinstance(self.config, LSMR):
                     raise InvalidInput("the response must be finite")
                 x[:, j] = np.nan
-                out.append(Outcome(x[:, j], False, 0, float("nan"), "response is not finite"))
+                out.append(Outcome(x[:, j], False, 0, float("nan"), StopReason.NotFinite))
             elif d.n_factors == 1:
                 diag = d.diagonal()
                 x[:, j] = np.divide(b[:, j], diag, out=np.zeros_like(diag), where=diag > 0)
-                out.append(Outcome(x[:, j], True, 0, 0.0, "closed form"))
+                out.append(Outcome(x[:, j], True, 0, 0.0, StopReason.ClosedForm))
             elif isinstance(self.config, LSMR):
                 out.append(self._lsmr(names[j]))
                 x[:, j] = out[-1].x
@@ -172,7 +174,15 @@ class Solver:
         return x, out, final, took
 
     def _lsmr(self, name: str) -> Outcome:
+        """On distinct tuples of levels if they fit; beyond, each step is a pass over the observations."""
         d, c = self.design, self.config
+        if not d.cells_fit:
+            rows = d.encode(F.col(f"`{name}`")).persist()
+            try:
+                y = RowVector(rows, np.zeros(d.n_dofs), 1.0)
+                return lsmr(y.product, RowVector.sums, y, self._apply(), c.tol, c.maxiter, c.local_size)
+            finally:
+                rows.unpersist()
         cells = d.cells({name: F.col(f"`{name}`")})
         on = cells.w > 0
         root = np.sqrt(cells.w[on])
@@ -199,12 +209,12 @@ class Solver:
         began = time.perf_counter()
         x, out, final, took = self._solve([y])
         o, total = out[0], time.perf_counter() - began
-        return SolveResult(self.design.coefficients(x[:, 0]), self._demeaned([y], x, True), o.converged, o.iterations, final[0], total, total - took[0], took[0], x[:, 0])
+        return SolveResult(self.design.coefficients(x[:, 0]), self._demeaned([y], x, True), o.converged, o.iterations, final[0], total, total - took[0], took[0], x[:, 0], o.reason)
 
     def solve_batch(self, ys: list[str]) -> BatchSolveResult:
         began = time.perf_counter()
         x, out, final, took = self._solve(list(ys))
-        return BatchSolveResult(list(ys), self.design, x, self._demeaned(list(ys), x, False), [o.converged for o in out], [o.iterations for o in out], final, took, time.perf_counter() - began)
+        return BatchSolveResult(list(ys), self.design, x, self._demeaned(list(ys), x, False), [o.converged for o in out], [o.iterations for o in out], final, took, time.perf_counter() - began, [o.reason for o in out])
 
 
 def solve(df: DataFrame, factors: list[str], y: str, weights: str | None = None, config=None, preconditioner=None, **options) -> SolveResult:
@@ -215,6 +225,7 @@ def solve(df: DataFrame, factors: list[str], y: str, weights: str | None = None,
     s = Solver(df, factors, config, weights, preconditioner, **options)
     r = s.solve(y)
     r.time_total, r.time_setup = time.perf_counter() - began, r.time_setup + s.time_setup
+    s.design.release()
     return r
 
 
@@ -223,6 +234,7 @@ def solve_batch(df: DataFrame, factors: list[str], ys: list[str], weights: str |
     began = time.perf_counter()
     r = Solver(df, factors, config, weights, preconditioner, **options).solve_batch(ys)
     r.time_total = time.perf_counter() - began
+    r.design.release()
     return r
 
 

@@ -156,3 +156,27 @@ def test_own_local_solver_and_design(spark):
 
 def left_of(r):
     return r.demeaned.orderBy("f0", "f1", "f2", "y").toPandas()["demeaned"].to_numpy()
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_lsmr_beyond_the_bound_passes_over_the_observations(spark, weight):
+    rng = np.random.default_rng(12)
+    df = frame(spark, [rng.integers(0, 9, 200), rng.integers(0, 7, 200), rng.integers(0, 4, 200)], rng.normal(size=200), rng.random(200) + 0.1).cache()
+    want = by_least_squares(df.toPandas(), ["f0", "f1", "f2"], weight)
+    for local_size in (None, 5):
+        s = D.Solver(df, ["f0", "f1", "f2"], D.LSMR(tol=1e-11, local_size=local_size), weight, most_pairs=30)
+        r = s.solve("y")
+        assert not s.design.cells_fit and r.converged and np.abs(left(r) - want).max() < 1e-8
+        assert r.reason is D.StopReason.NormalEquations
+
+
+def test_stop_reasons(spark):
+    df = frame(spark, [[0, 0, 1, 1], [0, 1, 0, 1]], [1, 2, 3, 5])
+    why = lambda y, f=("f0", "f1"), **o: D.solve(df.withColumn("y", y), list(f), "y", **o).reason
+    from pyspark.sql import functions as F
+
+    assert why(F.lit(0.0)) is D.StopReason.ZeroRhs
+    assert why(F.lit(float("nan"))) is D.StopReason.NotFinite
+    assert why(F.col("y"), ["f0"]) is D.StopReason.ClosedForm
+    assert why(F.col("y")) is D.StopReason.Tolerance
+    assert why(F.col("y"), config=D.CG(maxiter=0, max_refinements=0)) is D.StopReason.Iterations
