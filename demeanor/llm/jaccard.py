@@ -50,7 +50,7 @@ from .components import components
 
 SKETCH_BITS = 22  # 4 MB where it is broadcast; a shingle stands out once it is more frequent than the rest of its bucket
 SKETCH_PARTS = 256
-PAIRS_IN_TASK = 400
+PAIRS_IN_TASK = 64
 BROADCAST_IDS = 1_000_000
 PIECE_BYTES = 1 << 20
 _SPACE = re.compile(rb"[ \t-\r]")
