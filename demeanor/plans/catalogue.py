@@ -227,7 +227,7 @@ _VARIANTS: dict[str, Query] = {
     "demean_gmres_mult": partial(demean, factors=_TWO, config=C.GMRES(tol=TIGHT), preconditioner=C.Preconditioner.Multiplicative),
     "demean_lsmr": partial(demean, factors=_TWO, config=C.LSMR(tol=TIGHT)),
     "demean_lsmr_rows": partial(demean, factors=_TWO, config=C.LSMR(tol=1e-10), most_pairs=1000),
-    "demean_3way_large": partial(demean, factors=["l_orderkey", PART, SUPP], preconditioner=C.Preconditioner.Off),
+    "demean_3way_large": partial(demean, factors=["l_orderkey", PART, SUPP], config=C.CG(tol=1e-11), preconditioner=C.Preconditioner.Off),
     "demean_unprec": partial(demean, factors=_TWO, preconditioner=C.Preconditioner.Off),
     "demean_approx_schur": partial(demean, factors=_TWO, preconditioner=C.AdditiveSchwarz(C.SchurComplement(approx_schur=C.ApproxSchurConfig(split=2), dense_threshold=0))),
     "gram_diagonal_weighted": partial(gram_diagonal, weight="l_quantity"),
