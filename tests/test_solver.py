@@ -180,3 +180,26 @@ def test_stop_reasons(spark):
     assert why(F.col("y"), ["f0"]) is D.StopReason.ClosedForm
     assert why(F.col("y")) is D.StopReason.Tolerance
     assert why(F.col("y"), config=D.CG(maxiter=0, max_refinements=0)) is D.StopReason.Iterations
+
+
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_many_pairs_stay_on_the_executors(spark, monkeypatch, weight, hot):
+    from demeanor.operators import design
+
+    rng = np.random.default_rng(21)
+    df = frame(spark, [rng.integers(0, 40, 300), rng.integers(0, 7, 300), rng.integers(0, 4, 300)], rng.normal(size=300), rng.random(300) + 0.1).cache()
+    monkeypatch.setattr(design, "DRIVER_PAIRS", 10)
+    if hot:
+        monkeypatch.setattr(design, "BLOCK_ROWS", 6)
+    for factors in (["f0", "f1"], ["f0", "f1", "f2"]):
+        want = by_least_squares(df.toPandas(), factors, weight)
+        for operator in D.OperatorRepr:
+            s = D.Solver(df, factors, D.CG(tol=1e-12, operator=operator), weight)
+            r = s.solve("y")
+            assert r.converged and np.abs(left(r) - want).max() < 1e-9 and not {"_pairs", "tabs"} & s.design.__dict__.keys()
+            assert (s.design.eliminable is None) == hot
+            s.design.release()
+    built = D.Solver(df, ["f0", "f1"], weights=weight).preconditioner()
+    r = D.Solver(df, ["f0", "f1"], D.CG(tol=1e-12), weight, preconditioner=D.FePreconditioner.from_bytes(built.to_bytes())).solve("y")
+    assert r.converged and np.abs(left(r) - by_least_squares(df.toPandas(), ["f0", "f1"], weight)).max() < 1e-9
