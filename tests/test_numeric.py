@@ -113,3 +113,23 @@ def test_sparse_schur_equals_the_dense_one():
         t = CrossTab(i, j, c[i, j], c.sum(axis=1), c.sum(axis=0))
         for at_once in (1, 30, 1 << 22):
             assert np.allclose(local.sparse_schur(t, at_once).dense(), local.exact_schur(t))
+
+
+def test_sampled_schur_folds_edges_some_at_a_time(monkeypatch):
+    c = np.random.default_rng(3).random((9, 4)) + 0.1
+    t = tab(c, c.sum(1), c.sum(0))
+    whole = local.sampled_schur(t, 5, 2).dense()
+    monkeypatch.setattr(local, "EDGES_AT_ONCE", 1)
+    assert np.allclose(local.sampled_schur(t, 5, 2).dense(), whole)
+
+
+def test_multiplicative_needs_no_columns_for_components_of_one_pair():
+    from demeanor.operators.matrices import TabGram
+
+    c = np.array([[1.0, 2, 0, 0], [2, 1, 0, 0], [0, 0, 3, 1], [0, 0, 1, 1]])
+    t = tab(c, c.sum(1), c.sum(0))
+    offsets = np.array([0, 4, 8])
+    gram = TabGram({(0, 1): t}, offsets, np.r_[c.sum(1), c.sum(0)])
+    r = gram.matvec(np.arange(8.0))
+    z = schwarz.build(C.MultiplicativeSchwarz(), {(0, 1): t}, offsets, gram)(r)
+    assert "matrix" not in gram.__dict__ and np.allclose(gram.matvec(z), r) and np.allclose(gram.matrix.matvec(z), r)
