@@ -188,10 +188,10 @@ def test_many_pairs_stay_on_the_executors(spark, monkeypatch, weight, hot):
     from demeanor.operators import design
 
     rng = np.random.default_rng(21)
-    df = frame(spark, [rng.integers(0, 40, 300), rng.integers(0, 7, 300), rng.integers(0, 4, 300)], rng.normal(size=300), rng.random(300) + 0.1).cache()
+    df = frame(spark, [np.where(np.arange(300) < 100, 0, rng.integers(0, 40, 300)), rng.integers(0, 7, 300), rng.integers(0, 4, 300)], rng.normal(size=300), rng.random(300) + 0.1).cache()
     monkeypatch.setattr(design, "DRIVER_PAIRS", 10)
     if hot:
-        monkeypatch.setattr(design, "BLOCK_ROWS", 6)
+        monkeypatch.setattr(design, "BLOCK_ROWS", 90)
     for factors in (["f0", "f1"], ["f0", "f1", "f2"]):
         want = by_least_squares(df.toPandas(), factors, weight)
         for operator in D.OperatorRepr:
