@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from demeanor import Preconditioner, Solver
 from demeanor.functions.components import largest_component, pair_components
@@ -82,3 +83,45 @@ def test_release(spark):
 @pytest.mark.parametrize("name", ["star", "grid", "expander"])
 def test_two_factors_solve(spark, name):
     assert suites.timed(designs.DESIGNS[name](spark), *suites.standard_configs()["CG"], 0, 1)[0]
+
+
+def test_reduced_matrix_is_folded_before_it_is_dealt_out(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+
+    rng = np.random.default_rng(5)
+    part, supp = rng.integers(0, 12, 400), rng.integers(0, 9, 400)
+    rows = pd.DataFrame({"l_orderkey": range(400), "l_partkey": pd.array(np.where(part == 7, None, part), "Int64"), "l_suppkey": pd.array(np.where(supp == 3, None, supp), "Int64"), "l_linenumber": 1, "l_returnflag": "A", "l_extendedprice": 1.0, "l_quantity": 1.0})
+    rows.to_parquet(tmp_path / "lineitem.parquet")
+    df = __spark_entry__.queries()["schur_exact"](spark, str(tmp_path))
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, df.collect()), key=str)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = sorted(c.execute(__spark_entry__.oracle_sql()["schur_exact"]).fetchall(), key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_reduced_matrix_in_pieces(spark, kind):
+    from demeanor.operators import design
+
+    rng = np.random.default_rng(6)
+    c = np.where(rng.random((30, 11)) < 0.5, rng.random((30, 11)), 0.0)
+    c[:, 0] += 0.1
+    q, r = np.nonzero(c)
+    df = spark.createDataFrame(pd.DataFrame({"q": q, "r": r + 10, "w": c[q, r]})).withColumn("r", F.col("r").cast(kind))
+    want = np.diag(c.sum(0)) - c.T @ (c / c.sum(1)[:, None])
+    got = np.zeros((11, 11))
+    for i, j, s in design.reduced_matrix(df).collect():
+        got[int(i) - 10, int(j) - 10] += s
+    assert np.allclose(got, want)
+    lists = df.groupBy("q").agg(F.lit(True).alias("goes"), F.collect_list("r").alias("r"), F.collect_list("w").alias("w")).drop("q").coalesce(1).toArrow().to_batches()
+    for products, cells in ((1, 100), (40, 100), (40, 1), (10**6, 1), (10**6, 10**6)):
+        out = [x for b in design.eliminated(lists, products, cells) for x in b.to_pylist()]
+        sums = np.zeros((11, 11))
+        for x in out:
+            assert x["i"] <= x["j"]
+            sums[int(x["i"]) - 10, int(x["j"]) - 10] += x["s"]
+        assert np.allclose(sums, np.triu(want)) and (products < 10**6 or len(out) == len({(x["i"], x["j"]) for x in out}))
