@@ -203,3 +203,23 @@ def test_many_pairs_stay_on_the_executors(spark, monkeypatch, weight, hot):
     built = D.Solver(df, ["f0", "f1"], weights=weight).preconditioner()
     r = D.Solver(df, ["f0", "f1"], D.CG(tol=1e-12), weight, preconditioner=D.FePreconditioner.from_bytes(built.to_bytes())).solve("y")
     assert r.converged and np.abs(left(r) - by_least_squares(df.toPandas(), ["f0", "f1"], weight)).max() < 1e-9
+
+
+def test_explicit_products_on_the_executors_have_no_bound_but_a_given_one(spark, monkeypatch):
+    from demeanor.operators import design
+
+    rng = np.random.default_rng(22)
+    df = frame(spark, [rng.integers(0, 40, 300), rng.integers(0, 7, 300)], rng.normal(size=300)).cache()
+    monkeypatch.setattr(design, "DRIVER_PAIRS", 10)
+    monkeypatch.setattr(design, "MOST_PAIRS", 30)
+    explicit = D.CG(tol=1e-12, operator=D.OperatorRepr.Explicit)
+    for m in (None, D.Preconditioner.Off):
+        r = D.solve(df, ["f0", "f1"], "y", config=explicit, preconditioner=m, most_pairs=None)
+        assert r.converged and np.abs(left(r) - by_least_squares(df.toPandas(), ["f0", "f1"])).max() < 1e-9
+    d = Design(df, ["f0", "f1"], most_pairs=None)
+    x = np.arange(d.n_dofs) % 7.0
+    assert not d.pairs_fit and np.allclose(d.gram.matvec(x), d.implicit_product(x))
+    with pytest.raises(TooLarge):
+        D.solve(df, ["f0", "f1"], "y", config=explicit, most_pairs=30)
+    with pytest.raises(TooLarge):
+        D.solve(df, ["f0", "f1"], "y", preconditioner=D.Preconditioner.Additive, most_pairs=None)
