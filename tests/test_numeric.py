@@ -133,3 +133,16 @@ def test_multiplicative_needs_no_columns_for_components_of_one_pair():
     r = gram.matvec(np.arange(8.0))
     z = schwarz.build(C.MultiplicativeSchwarz(), {(0, 1): t}, offsets, gram)(r)
     assert "matrix" not in gram.__dict__ and np.allclose(gram.matvec(z), r) and np.allclose(gram.matrix.matvec(z), r)
+
+
+def test_approximate_cholesky_makes_no_lists_of_all_entries():
+    import tracemalloc
+
+    a, b = np.triu_indices(300, 1)
+    s = local.laplacian(300, a, b, np.random.default_rng(7).random(len(a)) + 0.1)
+    tracemalloc.start()
+    try:
+        local.ApproxCholesky(s, C.ApproxCholConfig())
+        assert tracemalloc.get_traced_memory()[1] < 90 * s.nnz
+    finally:
+        tracemalloc.stop()
