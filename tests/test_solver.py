@@ -223,3 +223,39 @@ def test_explicit_products_on_the_executors_have_no_bound_but_a_given_one(spark,
         D.solve(df, ["f0", "f1"], "y", config=explicit, most_pairs=30)
     with pytest.raises(TooLarge):
         D.solve(df, ["f0", "f1"], "y", preconditioner=D.Preconditioner.Additive, most_pairs=None)
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_sums_reach_the_driver_once_for_each_unknown(spark, monkeypatch, text):
+    from demeanor.operators import design
+
+    rng = np.random.default_rng(23)
+    factors = [rng.integers(0, 40, 300), rng.integers(0, 7, 300), rng.integers(0, 13, 300)]
+    df = frame(spark, [[f"v{x}" for x in f] for f in factors] if text else factors, rng.normal(size=300), rng.random(300) + 0.1).cache()
+    names = ["f0", "f1", "f2"]
+    small = Design(df, names, "w")
+    x = rng.normal(size=small.n_dofs)
+    want = small.gram.matvec(x)
+    monkeypatch.setattr(design, "DRIVER_PAIRS", 10)
+    monkeypatch.setattr(design, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(design, "SUM_UNKNOWNS", 9, raising=False)
+    came, whole = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: came.append(whole(self)) or came[-1])
+    d = Design(df, names, "w")
+    assert np.allclose(d.implicit_product(x), want)
+    assert np.sort(np.concatenate([np.frombuffer(u.as_buffer(), np.int32) for u in came[-1].column(0)])).tolist() == list(range(d.n_dofs))
+    again = d.implicit_product(x)
+    assert (again == d.implicit_product(x)).all()
+    assert np.allclose(d.gram.matvec(x), want)
+    d.release()
+    r = D.solve(df, names[:2], "y", "w", D.CG(tol=1e-10, operator=D.OperatorRepr.Explicit))
+    assert r.converged and np.abs(left(r) - by_least_squares(df.toPandas(), names[:2], "w")).max() < 1e-8
+
+
+def test_large_frames_go_to_spark_as_arrays(spark):
+    from demeanor.operators import design
+
+    rows = pd.DataFrame({"level": np.arange(200_000), "coef": np.arange(200_000) / 7})
+    sent = design.send(spark, rows)
+    assert "LocalRelation" not in sent._jdf.queryExecution().optimizedPlan().toString()
+    assert design.fetch(sent).sort_values("level")["coef"].tolist() == rows["coef"].tolist()
