@@ -49,3 +49,27 @@ def test_a_level_of_very_many_rows_is_not_eliminated_as_far(spark, monkeypatch):
     assert design.Design(df, ["f0", "f1"]).far is None
     r = D.solve(df, ["f0", "f1"], "y", config=D.CG(tol=1e-12))
     assert r.converged and np.abs(left(r) - by_least_squares(df.toPandas(), ["f0", "f1"])).max() < 1e-9
+
+
+@pytest.mark.parametrize("hot, weight", [(False, None), (True, "w")])
+def test_schwarz_of_too_many_pairs_stays_on_the_executors(spark, monkeypatch, hot, weight):
+    rng = np.random.default_rng(33)
+    a, part = rng.integers(0, 60, 600), rng.integers(0, 3, 600)
+    a = np.where((np.arange(600) < 150) & (part == 0), 0, a)
+    df = frame(spark, [a + 60 * part, rng.integers(0, 8, 600) + 8 * part], rng.normal(size=600), np.where(rng.random(600) < 0.1, 0.0, rng.random(600))).cache()
+    want, names = by_least_squares(df.toPandas(), ["f0", "f1"], weight), ["f0", "f1"]
+    on = np.ones(600, bool) if weight is None else df.toPandas()["w"].to_numpy() > 0
+    monkeypatch.setattr(design, "DRIVER_PAIRS", 10)
+    monkeypatch.setattr(design, "MOST_PAIRS", 30)
+    monkeypatch.setattr(design, "BLOCK_ROWS", 40 if hot else 200)
+    sampled = D.AdditiveSchwarz(D.SchurComplement(approx_schur=D.ApproxSchurConfig(split=2), dense_threshold=0))
+    for config, m in ((D.CG(tol=1e-12), sampled), (D.GMRES(tol=1e-12), D.Preconditioner.Multiplicative)):
+        s = D.Solver(df, names, config, weight, m)
+        r = s.solve("y")
+        assert r.converged and np.abs(left(r) - want)[on].max() < 1e-9 and not {"_pairs", "tabs"} & s.design.__dict__.keys()
+        assert (s.design.eliminable is None) == hot and len(s.preconditioner().starts) == 4
+        if m is not sampled:
+            assert r.iterations <= 3
+    again = D.Solver(df, names, config, weight, s.preconditioner()).solve("y")
+    assert np.allclose(again.vector, r.vector)
+    s.design.release()

@@ -146,3 +146,14 @@ def test_approximate_cholesky_makes_no_lists_of_all_entries():
         assert tracemalloc.get_traced_memory()[1] < 90 * s.nnz
     finally:
         tracemalloc.stop()
+
+
+def test_dense_approximate_cholesky_is_the_sparse_one(monkeypatch):
+    a, b = np.triu_indices(30, 1)
+    s = local.laplacian(30, a, b, np.random.default_rng(8).random(len(a)) + 0.1)
+    dense = local.ApproxCholesky(s, C.ApproxCholConfig(split=2))
+    monkeypatch.setattr(local, "DENSE_LEVELS", 0)
+    sparse = local.ApproxCholesky(s, C.ApproxCholConfig(split=2))
+    x = np.random.default_rng(9).normal(size=30)
+    assert dense.dense is not None and sparse.dense is None and np.allclose(dense.once(x - x.mean()), sparse.once(x - x.mean()))
+    assert np.allclose(s.matvec(dense.solve(x)), x - x.mean())
