@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import demeanor as D
-from demeanor.errors import InvalidInput
+from demeanor.errors import BuildError, InvalidInput
 from demeanor.operators import design
 
 from test_solver import by_least_squares, frame, left
@@ -73,3 +73,28 @@ def test_schwarz_of_too_many_pairs_stays_on_the_executors(spark, monkeypatch, ho
     again = D.Solver(df, names, config, weight, s.preconditioner()).solve("y")
     assert np.allclose(again.vector, r.vector)
     s.design.release()
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_a_diagonal_is_saved_and_used_again(spark, monkeypatch, far):
+    rng = np.random.default_rng(34)
+    df = frame(spark, [rng.integers(0, 60, 300), rng.integers(0, 8, 300)], rng.normal(size=300)).cache()
+    names = ["f0", "f1"]
+    monkeypatch.setattr(design, "DRIVER_PAIRS", 10)
+    monkeypatch.setattr(design, "MOST_PAIRS", 30)
+    if far:
+        monkeypatch.setattr(design, "FAR_LEVELS", 40)
+    s = D.Solver(df, names)
+    data = s.preconditioner().to_bytes()
+    built = D.FePreconditioner.from_bytes(data)
+    assert built.kind == "diagonal" and np.allclose(built.values, 1 / (s._far.near if far else s.design).diagonal())
+    r = D.Solver(df, names, D.CG(tol=1e-12), preconditioner=built).solve("y")
+    assert r.converged and np.abs(left(r) - by_least_squares(df.toPandas(), names)).max() < 1e-9
+    same = D.Solver(df, names, D.CG(tol=1e-12)).solve("y")
+    assert np.allclose(r.vector, same.vector) and r.iterations == same.iterations
+    with pytest.raises(BuildError):
+        D.FePreconditioner("diagonal", built.n, [], values=-built.values)
+    with pytest.raises(BuildError):
+        D.FePreconditioner.from_bytes(data[:-20])
+    with pytest.raises(BuildError):
+        D.Solver(df.where("f1 <> 3"), names, preconditioner=built)
